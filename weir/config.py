@@ -122,7 +122,7 @@ class Layout:
     chunk: int = 8192
     block: int = 1024
     fan: int = 1024
-    ewma_block: int = 256
+    ewma_block: int = 512
 
     def __post_init__(self):
         if self.chunk % self.block or self.block % self.ewma_block:

@@ -23,8 +23,7 @@ def chunk_of(seq="seq", layout: Layout = LAYOUT) -> Column:
 def with_chunks(df: DataFrame, halo: int, layout: Layout = LAYOUT, key: str = "site") -> DataFrame:
     """Assign rows to chunks, repeating the last ``halo`` rows before each chunk in it.
 
-    Rows a chunk owns have ``seq div chunk == _chunk``; the others only feed windows and
-    are dropped by :func:`own_rows`.
+    Rows before ``_chunk * chunk`` only feed windows and are dropped by :func:`own_rows`.
     """
     if halo:
         last = div(F.col("seq") + halo, layout.chunk)
@@ -36,7 +35,7 @@ def with_chunks(df: DataFrame, halo: int, layout: Layout = LAYOUT, key: str = "s
 
 
 def is_own(layout: Layout = LAYOUT) -> Column:
-    return chunk_of(layout=layout) == F.col(CHUNK)
+    return F.col("seq") >= F.col(CHUNK) * layout.chunk
 
 
 def own_rows(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:

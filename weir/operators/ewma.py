@@ -6,18 +6,23 @@ At a row that has a value the newest weight is 1, so terms older than
 exact result. Rows without a value repeat the last result: inside the chunk by a
 running ``last``, and for a null run that began in an earlier chunk by the value
 carried from the series index (:mod:`weir.operators.index`).
+
+Sums run inside sub-blocks, where growing weights cannot overflow; a row then adds
+the aged end state of the sub-block before its own. States travel as one struct, so
+the windows below copy it as bytes instead of field by field.
 """
 
 from __future__ import annotations
 
 from math import ceil, log
 
-from pyspark.sql import Column, Window as W, functions as F
+from pyspark.sql import DataFrame
 
 from ..config import LAYOUT, Layout
 from .chunks import CHUNK, div
 
 SUB = "_sub"
+ORDER = f"{SUB}, seq"
 
 
 def decay(span: float) -> float:
@@ -31,61 +36,60 @@ def reach(span: float) -> int:
     return ceil(41.5 / -log(decay(span)))
 
 
-def halo_for(span: float, layout: Layout = LAYOUT) -> int:
-    """Halo rounded up to whole sub-blocks, so that sub-blocks in a halo are complete."""
-    return ceil(reach(span) / layout.ewma_block) * layout.ewma_block
+def hops(spans, layout: Layout = LAYOUT) -> int:
+    """Sub-blocks to look back on."""
+    return max((ceil(reach(s) / layout.ewma_block) for s in spans), default=0)
+
+
+def halo_rows(spans, extra: int = 0, layout: Layout = LAYOUT) -> int:
+    """Halo in whole sub-blocks; its last ``extra`` rows get an exact mean as well."""
+    return (hops(spans, layout) + ceil(extra / layout.ewma_block)) * layout.ewma_block
+
+
+def _fields(pairs):
+    return [(c, s, f"{c}_{s}_{part}") for c, s in pairs for part in "nd"]
+
 
+def _age(span, layout: Layout, offset: int) -> str:
+    return f"exp((seq % {layout.ewma_block} + {offset}) * {log(decay(span))!r}D)"
 
-def _power(q: float, exponent: Column) -> Column:
-    return F.exp(exponent * F.lit(log(q)))
 
+def block_sums(df: DataFrame, pairs, key: str = "site", layout: Layout = LAYOUT) -> DataFrame:
+    """Add ``_dec``: decayed sums of value and weight since the row's sub-block began."""
+    df = df.withColumn(SUB, div("seq", layout.ewma_block))
+    over = (f"OVER (PARTITION BY {key}, {CHUNK}, {SUB} ORDER BY seq "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    base = list(df.columns)
+    sums = []
+    for c, s, name in _fields(pairs):
+        grow = f"exp((seq % {layout.ewma_block}) * {-log(decay(s))!r}D)"
+        term = f"{c} * {grow}" if name.endswith("n") else f"CASE WHEN {c} IS NOT NULL THEN {grow} END"
+        sums.append(f"sum({term}) {over} AS _r_{name}")
+    df = df.selectExpr("*", *sums)
+    dec = ", ".join(f"'{name}', coalesce(_r_{name}, 0D) * {_age(s, layout, 0)}" for c, s, name in _fields(pairs))
+    df = df.selectExpr(*base, f"named_struct({dec}) AS _dec")
+    for _ in range(hops([s for _, s in pairs], layout) - 1):
+        df = df.selectExpr("*", previous_block("_dec" if "_full" not in df.columns else "_full", key, layout))
+        df = df.selectExpr(*base, "_dec", f"named_struct({_joined(pairs, layout)}) AS _full")
+    return df if "_full" in df.columns else df.selectExpr("*", "_dec AS _full")
 
-def _names(col: str, span) -> str:
-    return f"_{col}_{span}"
 
+def _joined(pairs, layout: Layout) -> str:
+    return ", ".join(f"'{name}', _dec.{name} + {_age(s, layout, 1)} * coalesce(_prev.{name}, 0D)"
+                     for c, s, name in _fields(pairs))
 
-def add_decayed_sums(df, pairs: list[tuple[str, int]], key: str = "site", layout: Layout = LAYOUT):
-    """Decayed sums of value and weight over the rows since a sub-block began, and over
-    the sub-blocks before it. Two window passes for all ``pairs`` together; both use the
-    order (sub-block, seq), so the rows are sorted once."""
+
+def previous_block(state: str = "_full", key: str = "site", layout: Layout = LAYOUT) -> str:
+    """Window expression ``_prev``: state at the end of the sub-block before."""
     b = layout.ewma_block
-    pos = F.col("seq") % b
-    df = df.withColumn(SUB, div("seq", b))
-    inside = W.partitionBy(key, CHUNK, SUB).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    spans = sorted({s for _, s in pairs})
-    grow = {s: F.exp(pos * F.lit(-log(decay(s)))) for s in spans}
-    shrink = {s: F.exp(pos * F.lit(log(decay(s)))) for s in spans}
-    sums = {}
-    for col, s in pairs:
-        v = F.col(col)
-        sums[_names(col, s) + "n"] = F.coalesce(F.sum(v * grow[s]).over(inside), F.lit(0.0)) * shrink[s]
-        sums[_names(col, s) + "d"] = F.coalesce(
-            F.sum(F.when(v.isNotNull(), grow[s])).over(inside), F.lit(0.0)) * shrink[s]
-    df = df.withColumns(sums)
-    ends = {}
-    for col, s in pairs:
-        steps = ceil(reach(s) / b)
-        for part in "nd":
-            name = _names(col, s) + part
-            at_end = F.when(pos == b - 1, F.col(name))
-            ends[name + "c"] = sum(
-                (F.coalesce(F.sum(at_end).over(W.partitionBy(key, CHUNK).orderBy(SUB).rangeBetween(-k, -k)),
-                            F.lit(0.0)) * (decay(s) ** ((k - 1) * b)) for k in range(1, steps + 1)),
-                start=F.lit(0.0),
-            )
-    return df.withColumns(ends)
-
-
-def ratio(col: str, span: int, layout: Layout = LAYOUT) -> Column:
-    """The mean at a row that has a value, from the columns of :func:`add_decayed_sums`."""
-    q = decay(span)
-    age = _power(q, F.col("seq") % layout.ewma_block + 1)
-    name = _names(col, span)
-    return F.when(
-        F.col(col).isNotNull(),
-        F.try_divide(F.col(name + "n") + age * F.col(name + "nc"), F.col(name + "d") + age * F.col(name + "dc")),
-    )
-
-
-def helper_columns(pairs) -> list[str]:
-    return [_names(c, s) + t for c, s in pairs for t in ("n", "d", "nc", "dc")] + [SUB]
+    return (f"last(CASE WHEN seq % {b} = {b - 1} THEN {state} END, true) OVER (PARTITION BY {key}, {CHUNK} "
+            f"ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _prev")
+
+
+def mean_expr(col: str, span, layout: Layout = LAYOUT) -> str:
+    """The mean at a row that has a value (null elsewhere), from ``_dec`` and ``_prev``."""
+    part = {p: f"_dec.{col}_{span}_{p} + {_age(span, layout, 1)} * coalesce(_prev.{col}_{span}_{p}, 0D)" for p in "nd"}
+    return f"CASE WHEN {col} IS NOT NULL THEN try_divide({part['n']}, {part['d']}) END"
+
+
+HELPERS = (SUB, "_dec", "_full", "_prev")

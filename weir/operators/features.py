@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DIFFS, LAGS, LAYOUT, META, SENSORS, SPANS, STUCK_EPS, STUCK_WINDOW, WINDOWS, Layout
 from ..functions.calendar import time_encodings
 from .chunks import CHUNK, own_rows, with_chunks
-from .ewma import add_decayed_sums, halo_for, helper_columns, ratio
-from .index import chunk_entries, series_index
-from .rolling import rolling_exprs, rolling_parts, std_expr
+from .ewma import HELPERS, ORDER, block_sums, halo_rows, mean_expr, previous_block
+from .index import chunk_entries, sensors_with_gaps, series_index
+from .rolling import base_exprs, join_exprs, pack_base, pack_joined, rolling_exprs, std_expr
 
 # ---- fixed values: name, numerator, denominator, offset ----
 RATIOS = (
@@ -57,53 +57,70 @@ def window_features(df: DataFrame, want: Wanted, backfill: bool = True, eps: flo
     if not sensors:
         return df
     windows = tuple(sorted(set(want.windows) | ({want.stuck} if want.stuck else set())))
+    back = tuple(sorted(set(want.lags) | set(want.diffs)))
+    pairs = [(c, s) for c in sensors for s in want.spans]
     fill = bool(want.lags) and backfill
-    halo = max([0, *windows, *want.diffs, *want.lags, *[halo_for(s, layout) for s in want.spans]])
-    if want.spans:  # whole sub-blocks
-        halo = -(-halo // layout.ewma_block) * layout.ewma_block
-    out = with_chunks(df, halo, layout, key)
-    # with exponential means the sub-block leads the sort, so all ascending windows share one sort
-    order = "seq"
-    over = f"OVER (PARTITION BY {key}, {CHUNK} ORDER BY"
-    if fill:  # value at or after each row, within the chunk
-        back = f"{over} seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    gaps = sensors_with_gaps(df, sensors) if fill or pairs else []
+    halo = max(0, *(w - 1 for w in windows or (1,)), *(back or (0,)))
+    out = with_chunks(df, halo_rows(want.spans, halo, layout) if pairs else halo, layout, key)
+    if fill and gaps:  # value at or after each row, within the chunk
+        later = f"OVER (PARTITION BY {key}, {CHUNK} ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         out = out.selectExpr("*", *[
-            e for c in sensors for e in (
-                f"last({c}, true) {back} AS _nn_{c}",
-                f"last(CASE WHEN {c} IS NOT NULL THEN seq END, true) {back} AS _ns_{c}")])
-    pairs = [(c, s) for c in sensors for s in want.spans]
+            e for c in gaps for e in (
+                f"last({c}, true) {later} AS _nn_{c}",
+                f"last(CASE WHEN {c} IS NOT NULL THEN seq END, true) {later} AS _ns_{c}")])
     if pairs:
-        out = add_decayed_sums(out, pairs, key, layout)
-        order = "_sub, seq"
-    steps = []
-    for k in want.diffs:
-        steps += [f"coalesce({c} - lag({c}, {k}) {over} {order}), 0D) AS {c}_diff{k}" for c in sensors]
-    if want.lags:
-        src = "struct(" + ", ".join(f"_nn_{c}, _ns_{c}" if fill else c for c in sensors) + ")"
-        out = out.selectExpr("*", f"{src} AS _now")
-        steps += [f"lag(_now, {k}) {over} {order}) AS _lag{k}" for k in want.lags]
-    if steps:
-        out = out.selectExpr("*", *steps)
-    if windows:
-        out = rolling_parts(out, sensors, windows, key, order)
+        out = block_sums(out, pairs, key, layout)
+    # the sub-block leads the order where there is one, so that all windows share one sort
+    over = f"OVER (PARTITION BY {key}, {CHUNK} ORDER BY {ORDER if pairs else 'seq'}"
+    steps = [previous_block("_full", key, layout)] if pairs else []
+    if back:
+        fields = [x for c in sensors for x in ((c, f"_nn_{c}", f"_ns_{c}") if fill and c in gaps else (c,))]
+        out = out.selectExpr("*", f"struct({', '.join(fields)}) AS _now")
+        steps += [f"lag(_now, {k}) {over}) AS _lag{k}" for k in back]
+    if fill:
+        steps += [f"first(_now) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _head",
+                  f"max(seq) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS _top"]
+    made: list[int] = []
+    for w in windows:  # first the sliding frames, in the same pass as the lags
+        if not any(w % v == 0 for v in made):
+            steps += base_exprs(sensors, w, over)
+            made.append(w)
+    out = out.selectExpr("*", *steps) if steps else out
+    for w in made:
+        out = pack_base(out, sensors, w)
+    held = []
+    if pairs:
+        means = ", ".join(f"'{c}_{s}', {mean_expr(c, s, layout)}" for c, s in pairs)
+        out = out.selectExpr("*", f"named_struct({means}) AS _e").drop(*HELPERS[1:])
+        own = f"seq >= {CHUNK} * {layout.chunk}"  # a halo row's mean may miss terms
+        held = [f"last(CASE WHEN {own} THEN _e.{c}_{s} END, true) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _h_{c}_{s}"
+                for c, s in pairs if c in gaps]
+    for w in windows:  # then each longer window from the longest one that divides it
+        if w not in made:
+            prev = max(v for v in made if w % v == 0)
+            out = out.selectExpr("*", *join_exprs(prev, w, over), *held)
+            out, held = pack_joined(out, sensors, prev, w), []
+            made.append(w)
+    out = out.selectExpr("*", *held) if held else out
     out = own_rows(out, layout)
-    if fill or pairs:
-        idx = series_index(df, sensors, want.spans, key, layout)
-        out = out.join(chunk_entries(idx, sensors, want.spans, key, layout), [key, CHUNK])
+    if gaps:
+        idx = series_index(df, gaps, want.spans, key, layout)
+        out = out.join(chunk_entries(idx, gaps, want.spans, key, layout), [key, CHUNK])
     final = [f"`{c}`" for c in keep]
     if want.windows:
         final += rolling_exprs(sensors, want.windows)
-    if pairs:
-        out = out.withColumns({f"_e_{c}_{s}": ratio(c, s, layout) for c, s in pairs})
-        held = f"{over} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        final += [f"coalesce(_e_{c}_{s}, last(_e_{c}_{s}, true) {held}, in_{c}_{s}) AS {c}_ewma_{s}" for c, s in pairs]
-    final += [f"{c}_diff{k}" for c in sensors for k in want.diffs]
+    final += [(f"coalesce(_h_{c}_{s}, in_{c}_{s})" if c in gaps else f"_e.{c}_{s}") + f" AS {c}_ewma_{s}"
+              for c, s in pairs]
+    final += [f"coalesce({c} - _lag{k}.{c}, 0D) AS {c}_diff{k}" for c in sensors for k in want.diffs]
     for c in sensors:
         for k in want.lags:
-            if fill:
-                v = f"CASE WHEN seq < {k} THEN hd_{c} ELSE coalesce(_lag{k}._nn_{c}, nx_{c}) END"
-                at = f"CASE WHEN seq < {k} THEN hds_{c} ELSE coalesce(_lag{k}._ns_{c}, nxs_{c}) END"
+            if fill and c in gaps:
+                v = f"coalesce(CASE WHEN seq < {k} THEN _head._nn_{c} ELSE _lag{k}._nn_{c} END, nx_{c})"
+                at = f"coalesce(CASE WHEN seq < {k} THEN _head._ns_{c} ELSE _lag{k}._ns_{c} END, nxs_{c})"
                 final.append(f"CASE WHEN {at} + {k} < n_rows THEN {v} END AS {c}_lag{k}")
+            elif fill:
+                final.append(f"CASE WHEN seq >= {k} THEN _lag{k}.{c} WHEN {k} <= _top THEN _head.{c} END AS {c}_lag{k}")
             else:
                 final.append(f"_lag{k}.{c} AS {c}_lag{k}")
     if want.stuck:

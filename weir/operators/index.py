@@ -8,14 +8,22 @@ weighted means a null run at its start repeats, and the next value after its end
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, log
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import LAYOUT, Layout, SPANS
 from ..storage import written
 from .chunks import CHUNK, carry, div
-from .ewma import decay
+from .ewma import decay, reach
+
+
+def sensors_with_gaps(df: DataFrame, sensors) -> list[str]:
+    """Sensors that have any null. One aggregated row; the others need no index at all."""
+    if not sensors:
+        return []
+    row = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in sensors]).first()
+    return [c for c in sensors if row[c]]
 
 
 def series_index(df: DataFrame, sensors, spans=SPANS, key: str = "site", layout: Layout = LAYOUT) -> DataFrame:
@@ -34,39 +42,40 @@ def series_index(df: DataFrame, sensors, spans=SPANS, key: str = "site", layout:
     return written(df.groupBy(key, div("seq", b).alias("blk")).agg(*aggs), "series-index")
 
 
+def _block_means(index: DataFrame, pairs, key: str, layout: Layout) -> DataFrame:
+    """Mean at each block's last value; null for a block without values."""
+    b = layout.block
+    depth = max(ceil(reach(s) / b) for _, s in pairs)
+    sums = [f"{p}_{c}_{s}" for c, s in pairs for p in "nd"]
+    out = index
+    for k in range(1, depth + 1):
+        out = out.join(index.select(key, (F.col("blk") + k).alias("blk"), *[F.col(c).alias(f"p{k}{c}") for c in sums]),
+                       [key, "blk"], "left")
+
+    def total(p, c, s):
+        return sum((F.coalesce(F.col(f"p{k}{p}_{c}_{s}"), F.lit(0.0)) * decay(s) ** (k * b)
+                    for k in range(1, depth + 1)), start=F.col(f"{p}_{c}_{s}"))
+
+    return out.select("*", *[
+        F.when(F.col(f"d_{c}_{s}") > 0, total("n", c, s) / total("d", c, s)).alias(f"in_{c}_{s}") for c, s in pairs])
+
+
 def chunk_entries(index: DataFrame, sensors, spans=SPANS, key: str = "site", layout: Layout = LAYOUT) -> DataFrame:
     """One row per (site, chunk): ``in_<sensor>_<span>`` (mean before the chunk),
-    ``nx_``/``nxs_`` (next value after it and its seq), ``hd_``/``hds_`` (first value of the
-    series) and ``n_rows``."""
-    b = layout.block
-    sums = [f"{p}_{c}_{s}" for c in sensors for s in spans for p in "nd"]
-    older = index.select(key, (F.col("blk") + 1).alias("blk"), *[F.col(c).alias("p" + c) for c in sums])
-    means = {}
-    for c in sensors:
-        for s in spans:
-            # decay(s)**b is the weight one block back; two blocks back cannot show
-            back = lambda p: F.coalesce(F.col(f"p{p}_{c}_{s}"), F.lit(0.0)) * decay(s) ** b
-            means[f"in_{c}_{s}"] = F.when(
-                F.col(f"d_{c}_{s}") > 0,
-                (F.col(f"n_{c}_{s}") + back("n")) / (F.col(f"d_{c}_{s}") + back("d")),
-            )
-    ends = written(index.join(older, [key, "blk"], "left").select(key, "blk", *[m.alias(k) for k, m in means.items()]),
-                   "block-means")
+    ``nx_``/``nxs_`` (first value after it and its seq) and ``n_rows``."""
+    pairs = [(c, s) for c in sensors for s in spans]
     firsts = [f"{p}_{c}" for c in sensors for p in ("f", "fs")]
-    per = layout.chunk // b
+    per = layout.chunk // layout.block
     at_start = F.col("blk") % per == 0
-    entering = carry(ends, "blk", list(means), key, fan=layout.fan).filter(at_start)
     later = carry(index, "blk", firsts, key, forward=False, fan=layout.fan).filter(at_start)
     here = index.filter(at_start).select(key, "blk", *[F.col(c).alias("h" + c) for c in firsts])
-    onward = later.join(here, [key, "blk"]).select(
-        key, "blk", *[F.coalesce(F.col("h" + c), F.col(c)).alias(c) for c in firsts])
-    nxt = onward.select(key, (div("blk", per) - 1).alias(CHUNK),
-                        *[F.col(f"{p}_{c}").alias(f"nx{p[1:]}_{c}") for c in sensors for p in ("f", "fs")])
-    head = onward.filter("blk = 0").select(
-        key, *[F.col(f"{p}_{c}").alias(f"hd{p[1:]}_{c}") for c in sensors for p in ("f", "fs")])
+    nxt = later.join(here, [key, "blk"]).select(
+        key, (div("blk", per) - 1).alias(CHUNK),
+        *[F.coalesce(F.col("h" + c), F.col(c)).alias("nx" + c[1:]) for c in firsts])
+    if pairs:
+        means = _block_means(index, pairs, key, layout)
+        out = carry(means, "blk", [f"in_{c}_{s}" for c, s in pairs], key, fan=layout.fan).filter(at_start)
+    else:
+        out = index.filter(at_start).select(key, "blk")
     sizes = index.groupBy(key).agg(F.sum("n").alias("n_rows"))
-    out = (
-        entering.withColumn(CHUNK, div("blk", per)).drop("blk")
-        .join(nxt, [key, CHUNK], "left").join(head, key).join(sizes, key)
-    )
-    return written(out, "chunk-entries")
+    return out.withColumn(CHUNK, div("blk", per)).drop("blk").join(nxt, [key, CHUNK], "left").join(sizes, key)

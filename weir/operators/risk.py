@@ -7,25 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import LAYOUT, RISK_SPAN, Layout
 from ..functions.scoring import clip_risk, risk_raw
 from .chunks import own_rows, with_chunks
-from .ewma import add_decayed_sums, halo_for, helper_columns, ratio
+from .ewma import SUB, block_sums, halo_rows, mean_expr, previous_block
 
 
 def chunked_risk(df: DataFrame, span: int = RISK_SPAN, extra: int = 0, layout: Layout = LAYOUT) -> DataFrame:
-    """(rows with ``risk_raw`` and ``risk``) still cut into chunks; the halo's last
+    """Rows with ``risk_raw`` and ``risk``, still cut into chunks; the halo's last
     ``extra`` rows carry an exact risk too, for windows on top of it."""
-    halo = halo_for(span, layout) + (layout.ewma_block if extra else 0)
-    if extra > layout.ewma_block:
-        halo = halo_for(span, layout) + -(-extra // layout.ewma_block) * layout.ewma_block
-    pairs = [("risk_raw", span)]
-    cut = with_chunks(df.withColumn("risk_raw", risk_raw(df.columns)), halo, layout)
-    summed = add_decayed_sums(cut, pairs, layout=layout)
+    raw = df.withColumn("risk_raw", risk_raw(df.columns))
+    cut = with_chunks(raw, halo_rows([span], extra, layout), layout)
+    out = block_sums(cut, [("risk_raw", span)], layout=layout).selectExpr("*", previous_block(layout=layout))
     # risk_raw is never null, so there is nothing to carry across chunks
-    return summed.withColumn("risk", clip_risk(ratio("risk_raw", span, layout))).drop(*helper_columns(pairs))
+    return out.withColumn("risk", clip_risk(F.expr(mean_expr("risk_raw", span, layout)))).drop("_dec", "_full", "_prev")
 
 
 def risk_series(df: DataFrame, span: int = RISK_SPAN, layout: Layout = LAYOUT) -> DataFrame:
     """Add ``risk_raw`` and ``risk`` (EWMA-smoothed, clipped to 0..100) to numbered readings."""
-    return own_rows(chunked_risk(df, span, layout=layout), layout).drop("_chunk")
+    return own_rows(chunked_risk(df, span, layout=layout), layout).drop("_chunk", SUB)
 
 
 def last_n(df: DataFrame, n: int, key: str = "site") -> DataFrame:

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..config import WINDOWS
-from .chunks import CHUNK
-
 _PARTS = ("n", "m", "q", "lo", "hi")
 
 
@@ -21,69 +19,60 @@ def _p(col: str, w: int, part: str) -> str:
     return f"_{col}_{w}_{part}"
 
 
-def _over(key: str) -> str:
-    return f"OVER (PARTITION BY {key}, {CHUNK} ORDER BY {{order}} {{frame}})"
-
-
-def rolling_parts(df: DataFrame, sensors, windows=WINDOWS, key: str = "site", order: str = "seq") -> DataFrame:
-    """Add the mergeable parts of every window to chunked rows."""
-    windows = sorted(set(windows))
-    over = f"OVER (PARTITION BY {key}, {CHUNK} ORDER BY {order}"
-    prev = None
-    for w in windows:
-        if prev is None or w % prev:
-            fr = f"{over} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-            df = df.selectExpr("*", *[
-                f"{sql} {fr} AS {_p(c, w, part)}"
-                for c in sensors
-                for part, sql in (("n", f"count({c})"), ("m", f"avg({c})"), ("v", f"var_pop({c})"),
-                                  ("lo", f"min({c})"), ("hi", f"max({c})"))
-            ])
-            drop = {_p(c, w, "v") for c in sensors}
-            df = df.selectExpr(
-                *[f"`{x}`" for x in df.columns if x not in drop],
-                *[f"{_p(c, w, 'v')} * {_p(c, w, 'n')} AS {_p(c, w, 'q')}" for c in sensors])
-        else:
-            pieces = w // prev
-            struct = "struct(" + ", ".join(_p(c, prev, part) for c in sensors for part in _PARTS) + ")"
-            df = df.selectExpr("*", f"{struct} AS _p0")
-            df = df.selectExpr("*", *[f"lag(_p0, {prev * i}) {over}) AS _p{i}" for i in range(1, pieces)])
-            at = lambda c, part: [f"_p{i}.{_p(c, prev, part)}" for i in range(pieces)]
-            zero = lambda xs, z: [f"coalesce({x}, {z})" for x in xs]
-            first, second = [], []
-            for c in sensors:
-                n, m, q = zero(at(c, "n"), 0), zero(at(c, "m"), "0D"), zero(at(c, "q"), "0D")
-                first += [
-                    " + ".join(n) + f" AS {_p(c, w, 'n')}",
-                    "try_divide(" + " + ".join(f"{a} * {b}" for a, b in zip(n, m)) + ", " + " + ".join(n)
-                    + f") AS {_p(c, w, 'm')}",
-                    f"least({', '.join(at(c, 'lo'))}) AS {_p(c, w, 'lo')}",
-                    f"greatest({', '.join(at(c, 'hi'))}) AS {_p(c, w, 'hi')}",
-                ]
-                mean = _p(c, w, "m")
-                second.append(" + ".join(q + [f"{a} * coalesce(({b} - {mean}) * ({b} - {mean}), 0D)" for a, b in zip(n, m)])
-                              + f" AS {_p(c, w, 'q')}")
-            df = df.selectExpr("*", *first)
-            temp = {f"_p{i}" for i in range(pieces)}
-            df = df.selectExpr(*[f"`{x}`" for x in df.columns if x not in temp], *second)
-        prev = w
-    return df
+def _struct(w: int) -> str:
+    return f"_w{w}"
 
 
-def rolling_exprs(sensors, windows=WINDOWS) -> list[str]:
-    """SQL projections from the parts to the named statistics."""
-    out = []
+def base_exprs(sensors, w: int, over: str) -> list[str]:
+    """Window expressions of a sliding frame; packed by :func:`pack_base`."""
+    fr = f"{over} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    return [f"{sql} {fr} AS {_p(c, w, part)}" for c in sensors
+            for part, sql in (("n", f"count({c})"), ("m", f"avg({c})"), ("q", f"var_pop({c})"),
+                              ("lo", f"min({c})"), ("hi", f"max({c})"))]
+
+
+def pack_base(df: DataFrame, sensors, w: int) -> DataFrame:
+    """Replace the columns of :func:`base_exprs` by one struct, copied as bytes from here on."""
+    temp = {_p(c, w, x) for c in sensors for x in _PARTS}
+    fields = ", ".join(
+        f"'{c}_{x}', " + (f"{_p(c, w, 'q')} * {_p(c, w, 'n')}" if x == "q" else _p(c, w, x))
+        for c in sensors for x in _PARTS)
+    return df.selectExpr(*[f"`{x}`" for x in df.columns if x not in temp], f"named_struct({fields}) AS {_struct(w)}")
+
+
+def join_exprs(prev: int, w: int, over: str) -> list[str]:
+    return [f"lag({_struct(prev)}, {prev * i}) {over}) AS _p{i}" for i in range(1, w // prev)]
+
+
+def pack_joined(df: DataFrame, sensors, prev: int, w: int) -> DataFrame:
+    """Merge the window's pieces: counts, means, squared deviations about the joint mean."""
+    pieces = [_struct(prev)] + [f"_p{i}" for i in range(1, w // prev)]
+    fields = []
     for c in sensors:
-        for w in windows:
-            n, m, q, lo, hi = (_p(c, w, x) for x in _PARTS)
-            out += [
-                f"{m} AS {c}_w{w}_mean",
-                f"CASE WHEN {n} > 1 THEN sqrt({q} / ({n} - 1)) ELSE 0D END AS {c}_w{w}_std",
-                f"{lo} AS {c}_w{w}_min", f"{hi} AS {c}_w{w}_max", f"{hi} - {lo} AS {c}_w{w}_range",
-            ]
-    return out
+        n = [f"coalesce({p}.{c}_n, 0)" for p in pieces]
+        m = [f"coalesce({p}.{c}_m, 0D)" for p in pieces]
+        mean = f"try_divide({' + '.join(f'{a} * {b}' for a, b in zip(n, m))}, {' + '.join(n)})"
+        q = [f"coalesce({p}.{c}_q, 0D)" for p in pieces]
+        gap = [f"{a} * coalesce(({b} - {mean}) * ({b} - {mean}), 0D)" for a, b in zip(n, m)]
+        fields += [f"'{c}_n', {' + '.join(n)}", f"'{c}_m', {mean}", f"'{c}_q', {' + '.join(q + gap)}",
+                   f"'{c}_lo', least({', '.join(f'{p}.{c}_lo' for p in pieces)})",
+                   f"'{c}_hi', greatest({', '.join(f'{p}.{c}_hi' for p in pieces)})"]
+    temp = set(pieces[1:])
+    return df.selectExpr(*[f"`{x}`" for x in df.columns if x not in temp],
+                         f"named_struct({', '.join(fields)}) AS {_struct(w)}")
 
 
 def std_expr(c: str, w: int) -> str:
-    n, q = _p(c, w, "n"), _p(c, w, "q")
+    n, q = f"{_struct(w)}.{c}_n", f"{_struct(w)}.{c}_q"
     return f"CASE WHEN {n} > 1 THEN sqrt({q} / ({n} - 1)) ELSE 0D END"
+
+
+def rolling_exprs(sensors, windows=WINDOWS) -> list[str]:
+    """SQL projections from the packed parts to the named statistics."""
+    out = []
+    for c in sensors:
+        for w in windows:
+            m, lo, hi = (f"{_struct(w)}.{c}_{x}" for x in ("m", "lo", "hi"))
+            out += [f"{m} AS {c}_w{w}_mean", f"{std_expr(c, w)} AS {c}_w{w}_std",
+                    f"{lo} AS {c}_w{w}_min", f"{hi} AS {c}_w{w}_max", f"{hi} - {lo} AS {c}_w{w}_range"]
+    return out
