@@ -124,10 +124,13 @@ def fold_alerts(cut: DataFrame, params: AlertParams, key: str = "site", order: t
 
 
 def alert_states(df: DataFrame, params: AlertParams = AlertParams(), span: int = RISK_SPAN,
-                 layout: Layout = LAYOUT) -> DataFrame:
+                 keep: list[str] | None = None, layout: Layout = LAYOUT) -> DataFrame:
     """Add ``risk_raw, risk, alert_level, previous_level, alert_changed`` to numbered readings,
-    and ``prev_ts`` / ``event_start`` (seq at which the row's run of one event_type began)."""
+    and ``prev_ts`` / ``event_start`` (seq at which the row's run of one event_type began).
+    ``keep`` names the input columns to carry along (all by default)."""
     cut = chunked_risk(df, span, extra=params.persistence, layout=layout)
+    if keep is not None:
+        cut = cut.select("site", "seq", CHUNK, SUB, *[c for c in keep if c not in ("site", "seq")], "risk_raw", "risk")
     return fold_alerts(cut, params, layout=layout)
 
 

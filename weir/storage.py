@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
 _tables: dict[tuple, str] = {}
+_frames: dict[tuple, DataFrame] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,5 +55,15 @@ def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Dat
 def forget(spark: SparkSession) -> None:
     """Drop the memory of tables written by :func:`once` (the files stay)."""
     app = spark.sparkContext.applicationId
-    for key in [k for k in _tables if k[0] == app]:
-        del _tables[key]
+    for known in (_tables, _frames):
+        for key in [k for k in known if k[0] == app]:
+            del known[key]
+
+
+def remembered(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The same DataFrame for the same key within an application, so that the tables it was
+    built on are written once."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _frames:
+        _frames[full] = build()
+    return _frames[full]
