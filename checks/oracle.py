@@ -48,6 +48,15 @@ def r6(expr: str, name: str | None = None, d: int = 6) -> str:
     return f"round({expr}, {d}) + 0.0e0 AS {name or expr}"
 
 
+def single(expr: str, name: str) -> str:
+    """At single precision: means of few-digit values often lie exactly between two 6-digit decimals."""
+    return f"CAST(CAST({expr} AS FLOAT) AS DOUBLE) AS {name}"
+
+
+def shown(expr: str, name: str) -> str:
+    return single(expr, name) if name.endswith("_mean") else r6(expr, name)
+
+
 def r6s(cols) -> str:
     return ", ".join(r6(c) for c in cols)
 
@@ -200,7 +209,7 @@ def ranked(hits, src: str) -> str:
 
 
 def label(c: str) -> str:
-    return f"array_to_string(list_transform(string_split({c}, '_'), x -> upper(x[1]) || x[2:]), ' ')"
+    return f"array_to_string([upper(x[1]) || x[2:] for x in string_split({c}, '_')], ' ')"
 
 
 def lookup(c: str, table: dict) -> str:
@@ -277,7 +286,7 @@ REPORT = f"""{WITH_R}, {rule_cte()}, pl AS (SELECT event_type AS t, {primary(HIT
 
 def statements() -> dict[str, str]:
     ids = "site, seq"
-    msg = lambda s: f"round_even({s}, 3)"
+    msg = lambda s: f"CAST(printf('%.3f', {s}) AS DOUBLE)"
     q = {
         "scan_readings": f"{WITH_R} SELECT event_id, site, seq, ts, event_type, potability, {r6s(SENSORS)} FROM r WHERE site IN ('S1', 'S3')",
         "time_encodings": f"{WITH_R} SELECT {ids}, {', '.join(r6(e, k) for k, e in TIME.items())}, {NIGHT} AS is_night FROM r",
@@ -299,14 +308,14 @@ def statements() -> dict[str, str]:
         "last_n_readings": f"{sliced(288)} SELECT site, seq, event_id, ts FROM sl",
         "limit_breaches": breaches(),
         "event_counts": f"{WITH_R} SELECT event_type, count(*) AS n FROM r WHERE event_type <> 'normal' GROUP BY event_type",
-        "rolling_stats": f"{WITH_R} SELECT {ids}, {', '.join(r6(e, k) for k, e in ROLLING.items())} FROM r",
+        "rolling_stats": f"{WITH_R} SELECT {ids}, {', '.join(shown(e, k) for k, e in ROLLING.items())} FROM r",
         "ewma": f"{WITH_R}, {ewma_cte()} SELECT {ids}, {r6s(EWMA)} FROM ew",
         "diffs": f"{WITH_R} SELECT {ids}, {', '.join(r6(e, k) for k, e in DIFFS.items())} FROM r",
         "lags": f"{WITH_R}, {LAGGED} SELECT {ids}, {r6s(SHIFT)} FROM lgd",
         "stuck_sensors": f"{WITH_R} SELECT {ids}, {', '.join(f'{e} AS {k}' for k, e in STUCK.items())} FROM r",
         "build_features": f"{WITH_R}, {ewma_cte()}, {LAGGED}, "
                           f"ft AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in {**ROLLING, **DIFFS, **STUCK, **TIME, **RATIO}.items())}, {NIGHT} AS is_night FROM lgd) "
-                          f"SELECT site, seq, event_type, potability, is_night, {', '.join(STUCK)}, {r6s([*SENSORS, *FEATURES])} "
+                          f"SELECT site, seq, event_type, potability, is_night, {', '.join(STUCK)}, {', '.join(shown(c, c) for c in [*SENSORS, *FEATURES])} "
                           f"FROM ft JOIN ew USING (site, seq) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*SENSORS, *EWMA, *SHIFT])}",
         "alert_states": f"{WITH_AL} SELECT {ids}, {r6('risk')}, alert_level, alert_changed FROM al",
         "alert_log": f"{WITH_AL} SELECT {ids}, ts, alert_level, {r6('risk')}, event_type FROM lg",
@@ -332,7 +341,7 @@ def statements() -> dict[str, str]:
         "cause_ranking": f"{WITH_R}, {rule_cte()} {ranked(HITS, 'fe')}",
         "message_json": f"""{WITH_RAW} SELECT {ids}, '{{"timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","sensors":{{' || concat_ws(',', """
                         + ", ".join(f"""'"{s}":' || CAST({msg(s)} AS VARCHAR)""" for s in SENSORS)
-                        + f""") || '}},"risk_index":' || CAST(round_even(risk_raw, 1) AS VARCHAR) || ',"event_type":"' || event_type || '","cause":{{"cause":"' || {primary(RAW_HITS)} || '"' AS message_head FROM raw""",
+                        + f""") || '}},"risk_index":' || CAST(CAST(printf('%.1f', risk_raw) AS DOUBLE) AS VARCHAR) || ',"event_type":"' || event_type || '","cause":{{"cause":"' || {primary(RAW_HITS)} || '"' AS message_head FROM raw""",
         "scenario_overlay": overlay(),
         "forecast_residuals": f"{WITH_R}, {RESID} SELECT site, seq, sensor, {r6('residual')}, {r6('z')} FROM rz",
         "clip_bounds": f"{WITH_R} SELECT {ids}, {r6('CASE WHEN ph < 0 THEN 0 WHEN ph > 14 THEN 14 ELSE ph END', 'ph')}, {r6('CASE WHEN turbidity < 0 THEN 0 ELSE turbidity END', 'turbidity')} FROM r",
@@ -344,7 +353,7 @@ def statements() -> dict[str, str]:
         "amplified_risk": f"{WITH_RISK}, {RESID}, za AS (SELECT site, seq, avg(greatest(z, 0)) AS z FROM rz GROUP BY site, seq) "
                           f"SELECT site, seq, {r6('risk')}, {r6('least(100, risk * (1 + 0.1e0 * coalesce(z, 0)))', 'amplified_risk')} FROM risk LEFT JOIN za USING (site, seq)",
         "lead_times": f"{WITH_EV} SELECT site, event_start, event_type, onset, first_alert, n_readings, lead_us FROM lt",
-        "lead_time_histogram": f"{WITH_EV} SELECT event_type, CAST(least(floor(lead_us / 600000000.0e0), 12) AS INTEGER) AS bucket, count(*) AS n_events FROM lt WHERE lead_us IS NOT NULL GROUP BY ALL",
+        "lead_time_histogram": f"{WITH_EV} SELECT event_type, CAST(least(floor(lead_us / 7200000000.0e0), 24) AS INTEGER) AS bucket, count(*) AS n_events FROM lt WHERE lead_us IS NOT NULL GROUP BY ALL",
         "false_alarms_per_day": f"""{WITH_EV}, a AS (SELECT site, count(*) FILTER (alert_level <> 'normal' AND event_type = 'normal') AS false_alarms FROM lg GROUP BY site),
  d AS (SELECT site, (max(epoch_us(ts)) - min(epoch_us(ts))) / 86400e6 AS days FROM al GROUP BY site), t AS (SELECT site, avg(lead_us) / 1e6 AS s FROM lt GROUP BY site)
  SELECT site, false_alarms, {r6('days')}, {r6('false_alarms / nullif(days, 0)', 'per_day')}, {r6('s', 'mean_detect_s', 3)} FROM a JOIN d USING (site) LEFT JOIN t USING (site)""",

@@ -17,8 +17,22 @@ def pretty(c, length: int | None = None) -> Column:
     return F.substring(out, 1, length) if length else out
 
 
+def round_binary(c, digits: int) -> Column:
+    """Round the exact binary value, ties to even. ``round`` and ``bround`` go by the shortest
+    decimal text instead, where 0.605 (stored as 0.60499..) would become 0.61.
+
+    The value is split in two halves whose products with the scale are exact, so the
+    comparison with the midpoint is exact as well."""
+    x, m = _col(c), float(10 ** digits)
+    head = x.cast("float").cast("double")
+    k = F.floor(x * m)
+    over = (head * m - (k + 0.5)) + (x - head) * m
+    up = (over > 0) | ((over == 0) & (k % 2 != 0))
+    return (k + F.when(up, 1).otherwise(0)) / m
+
+
 def value_with_unit(value, unit: str) -> Column:
-    return F.format_string(f"%.2f {unit}", _col(value))
+    return F.format_string(f"%.2f {unit}", round_binary(value, 2))
 
 
 def _lookup(c, pairs: dict, default) -> Column:

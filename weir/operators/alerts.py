@@ -87,8 +87,9 @@ def _level(state) -> Column:
 
 
 def fold_alerts(cut: DataFrame, params: AlertParams, key: str = "site", order: tuple = (SUB, "seq"),
-                layout: Layout = LAYOUT) -> DataFrame:
-    """Alert columns for rows that are cut into chunks (halo included) and carry ``risk``."""
+                one_chunk: bool = False, layout: Layout = LAYOUT) -> DataFrame:
+    """Alert columns for rows that are cut into chunks (halo included) and carry ``risk``.
+    ``one_chunk``: no series is longer than a chunk, so nothing needs to be carried."""
     w = W.partitionBy(key, CHUNK).orderBy(*order)
     drop = [c for c in (SUB,) if c in cut.columns]
     named = {**_row_images("risk", params, w)}
@@ -103,6 +104,11 @@ def fold_alerts(cut: DataFrame, params: AlertParams, key: str = "site", order: t
         starts = F.when((F.col("seq") == 0) | ~F.col("event_type").eqNullSafe(F.col("_pe")), F.col("seq"))
         more.append(F.max(starts).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_ev"))
     run = run.select("*", *more).drop("_pe", *drop)
+    if one_chunk:
+        was = F.coalesce(F.col("_p_n"), F.lit(0))
+        out = run.withColumns({"alert_level": _level(F.col("_n")), "previous_level": _level(was),
+                               "alert_changed": F.col("_n") != was})
+        return out.withColumnRenamed("_ev", "event_start").drop(CHUNK, *_IMG, *("_p" + x for x in _IMG))
     rows = written(run.withColumns({c: F.col(c).cast("tinyint") for c in (*_IMG, *("_p" + x for x in _IMG))}),
                    "alert-maps")
     tail = [F.max_by(x, "seq").alias(x) for x in _IMG]
@@ -124,14 +130,15 @@ def fold_alerts(cut: DataFrame, params: AlertParams, key: str = "site", order: t
 
 
 def alert_states(df: DataFrame, params: AlertParams = AlertParams(), span: int = RISK_SPAN,
-                 keep: list[str] | None = None, layout: Layout = LAYOUT) -> DataFrame:
+                 keep: list[str] | None = None, one_chunk: bool = False, layout: Layout = LAYOUT) -> DataFrame:
     """Add ``risk_raw, risk, alert_level, previous_level, alert_changed`` to numbered readings,
     and ``prev_ts`` / ``event_start`` (seq at which the row's run of one event_type began).
-    ``keep`` names the input columns to carry along (all by default)."""
+    ``keep`` names the input columns to carry along (all by default); ``one_chunk`` states that
+    no series is longer than a chunk."""
     cut = chunked_risk(df, span, extra=params.persistence, layout=layout)
     if keep is not None:
         cut = cut.select("site", "seq", CHUNK, SUB, *[c for c in keep if c not in ("site", "seq")], "risk_raw", "risk")
-    return fold_alerts(cut, params, layout=layout)
+    return fold_alerts(cut, params, one_chunk=one_chunk, layout=layout)
 
 
 def alert_states_of(risk: DataFrame, params: AlertParams = AlertParams(), layout: Layout = LAYOUT) -> DataFrame:

@@ -90,51 +90,53 @@ def ml_hits_column(probability: Column, classes: Sequence[str] = CAUSES, floor:
                                                 F.lit("ml_classifier").alias("method"))).cast(ML_HIT)
 
 
-def diagnosis_column(rule: Column, ml: Column | None = None, w_rule: float = 0.5, w_ml: float = 0.5,
-                     causes: Sequence[str] | None = None) -> Column:
-    """Fuse both hit lists into one struct. Ties keep the order in which a cause first
+def fused_scores(rule: Column, ml: Column, w_rule: float, w_ml: float, causes: Sequence[str]) -> Column:
+    """Causes with their joint score, best first. Ties keep the order in which a cause first
     appears: rule hits by confidence, then classifier hits."""
-    ml = F.array().cast(ML_HIT) if ml is None else ml
-    causes = causes or sorted(set(CAUSES) | {r.cause for r in RULES}, key=list(CAUSES).index)
     order = F.array_distinct(F.concat(F.transform(rule, lambda h: h.cause), F.transform(ml, lambda h: h.cause)))
 
     def score(hits, cause, weight):
-        picked = F.get(F.filter(hits, lambda h: h.cause == cause), F.lit(0))
-        return F.coalesce(picked.getField("confidence") * weight, F.lit(0.0))
+        picked = F.filter(hits, lambda h: h.cause == cause)
+        return F.aggregate(picked, F.lit(0.0), lambda acc, h: acc + h.confidence * weight)
 
     scored = F.array(*[
         F.struct((-(score(rule, c, w_rule) + score(ml, c, w_ml))).alias("k"),
                  F.array_position(order, F.lit(c)).alias("i"), F.lit(c).alias("cause")) for c in causes])
-    ranked = F.transform(F.array_sort(F.filter(scored, lambda h: h.i > 0)),
-                         lambda h: F.struct(h.cause.alias("cause"), (-h.k).alias("score")))
-    none = F.size(ranked) == 0
-    top = F.get(ranked, F.lit(0))
-    primary = F.when(none, "normal").otherwise(top.getField("cause"))
-    return F.struct(
-        primary.alias("primary_cause"),
-        F.when(none, 1.0).otherwise(F.round(F.least(top.getField("score"), F.lit(1.0)), 3)).alias("confidence"),
-        F.transform(ranked, lambda h: F.struct(h.cause.alias("cause"), F.round(h.score, 3).alias("score")))
-        .alias("all_causes"),
-        F.transform(F.filter(rule, lambda h: h.cause == primary), lambda h: h.explanation).alias("rule_explanations"),
-        rule.alias("rule_hits"),
-        ml.alias("ml_predictions"),
-    )
+    return F.transform(F.array_sort(F.filter(scored, lambda h: h.i > 0)),
+                       lambda h: F.struct(h.cause.alias("cause"), (-h.k).alias("score")))
 
 
 def diagnose(df: DataFrame, cause_model=None, w_rule: float = 0.5, w_ml: float = 0.5, raw_only: bool = False,
              rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add ``diagnosis``. Without a model the classifier list is empty and the fusion is
     rule-only, so a lone rule counts half its confidence."""
-    ml = None
     causes = list(dict.fromkeys([*CAUSES, *(r.cause for r in rules)]))
     if cause_model is not None:
         from pyspark.ml.functions import vector_to_array
 
         df = cause_model.transform(df).withColumn(
-            "ml_hits", ml_hits_column(vector_to_array("probability"), cause_model.classes))
-        ml = F.col("ml_hits")
+            "_ml", ml_hits_column(vector_to_array("probability"), cause_model.classes))
+    else:
+        df = df.withColumn("_ml", F.array().cast(ML_HIT))
     df = rule_hits(df, rules, raw_only)
-    return df.withColumn("diagnosis", diagnosis_column(F.col("rule_hits"), ml, w_rule, w_ml, causes))
+    rule, ml = F.col("rule_hits"), F.col("_ml")
+    if cause_model is None and len({r.cause for r in rules}) == len(rules):
+        ranked = F.transform(rule, lambda h: F.struct(h.cause.alias("cause"), (h.confidence * w_rule).alias("score")))
+    else:
+        ranked = fused_scores(rule, ml, w_rule, w_ml, causes)
+    # one step per column, so that each list is built once per row
+    df = df.withColumn("_ranked", ranked)
+    top = F.get("_ranked", F.lit(0))
+    df = df.withColumns({"_cause": F.coalesce(top.getField("cause"), F.lit("normal")),
+                         "_conf": F.round(F.least(F.coalesce(top.getField("score"), F.lit(1.0)), F.lit(1.0)), 3)})
+    full = F.struct(
+        F.col("_cause").alias("primary_cause"), F.col("_conf").alias("confidence"),
+        F.transform("_ranked", lambda h: F.struct(h.cause.alias("cause"), F.round(h.score, 3).alias("score")))
+        .alias("all_causes"),
+        F.transform(F.filter(rule, lambda h: h.cause == F.col("_cause")), lambda h: h.explanation)
+        .alias("rule_explanations"),
+        rule.alias("rule_hits"), ml.alias("ml_predictions"))
+    return df.withColumn("diagnosis", full).drop("_ml", "_ranked", "_cause", "_conf")
 
 
 def rule_feature_frame(readings: DataFrame, layout=None) -> DataFrame:

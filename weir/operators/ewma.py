@@ -56,17 +56,18 @@ def _age(span, layout: Layout, offset: int) -> str:
 
 def block_sums(df: DataFrame, pairs, key: str = "site", layout: Layout = LAYOUT) -> DataFrame:
     """Add ``_dec``: decayed sums of value and weight since the row's sub-block began."""
+    weights = [f"exp((seq % {layout.ewma_block}) * {-log(decay(s))!r}D) AS _g{s}" for s in sorted({s for _, s in pairs})]
     df = df.withColumn(SUB, div("seq", layout.ewma_block))
     over = (f"OVER (PARTITION BY {key}, {CHUNK}, {SUB} ORDER BY seq "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     base = list(df.columns)
+    df = df.selectExpr("*", *weights)
     sums = []
     for c, s, name in _fields(pairs):
-        grow = f"exp((seq % {layout.ewma_block}) * {-log(decay(s))!r}D)"
-        term = f"{c} * {grow}" if name.endswith("n") else f"CASE WHEN {c} IS NOT NULL THEN {grow} END"
+        term = f"{c} * _g{s}" if name.endswith("n") else f"CASE WHEN {c} IS NOT NULL THEN _g{s} END"
         sums.append(f"sum({term}) {over} AS _r_{name}")
     df = df.selectExpr("*", *sums)
-    dec = ", ".join(f"'{name}', coalesce(_r_{name}, 0D) * {_age(s, layout, 0)}" for c, s, name in _fields(pairs))
+    dec = ", ".join(f"'{name}', coalesce(_r_{name}, 0D) / _g{s}" for c, s, name in _fields(pairs))
     df = df.selectExpr(*base, f"named_struct({dec}) AS _dec")
     for _ in range(hops([s for _, s in pairs], layout) - 1):
         df = df.selectExpr("*", previous_block("_dec" if "_full" not in df.columns else "_full", key, layout))

@@ -47,17 +47,19 @@ def join_exprs(prev: int, w: int, over: str) -> list[str]:
 def pack_joined(df: DataFrame, sensors, prev: int, w: int) -> DataFrame:
     """Merge the window's pieces: counts, means, squared deviations about the joint mean."""
     pieces = [_struct(prev)] + [f"_p{i}" for i in range(1, w // prev)]
+    n = {c: [f"coalesce({p}.{c}_n, 0)" for p in pieces] for c in sensors}
+    m = {c: [f"coalesce({p}.{c}_m, 0D)" for p in pieces] for c in sensors}
+    df = df.selectExpr("*", *[f"{' + '.join(n[c])} AS _n_{c}" for c in sensors], *[
+        f"try_divide({' + '.join(f'{a} * {b}' for a, b in zip(n[c], m[c]))}, {' + '.join(n[c])}) AS _m_{c}"
+        for c in sensors])
     fields = []
     for c in sensors:
-        n = [f"coalesce({p}.{c}_n, 0)" for p in pieces]
-        m = [f"coalesce({p}.{c}_m, 0D)" for p in pieces]
-        mean = f"try_divide({' + '.join(f'{a} * {b}' for a, b in zip(n, m))}, {' + '.join(n)})"
         q = [f"coalesce({p}.{c}_q, 0D)" for p in pieces]
-        gap = [f"{a} * coalesce(({b} - {mean}) * ({b} - {mean}), 0D)" for a, b in zip(n, m)]
-        fields += [f"'{c}_n', {' + '.join(n)}", f"'{c}_m', {mean}", f"'{c}_q', {' + '.join(q + gap)}",
+        gap = [f"{a} * coalesce(({b} - _m_{c}) * ({b} - _m_{c}), 0D)" for a, b in zip(n[c], m[c])]
+        fields += [f"'{c}_n', _n_{c}", f"'{c}_m', _m_{c}", f"'{c}_q', {' + '.join(q + gap)}",
                    f"'{c}_lo', least({', '.join(f'{p}.{c}_lo' for p in pieces)})",
                    f"'{c}_hi', greatest({', '.join(f'{p}.{c}_hi' for p in pieces)})"]
-    temp = set(pieces[1:])
+    temp = {*pieces[1:], *(f"_{x}_{c}" for c in sensors for x in "nm")}
     return df.selectExpr(*[f"`{x}`" for x in df.columns if x not in temp],
                          f"named_struct({', '.join(fields)}) AS {_struct(w)}")
 

@@ -56,6 +56,14 @@ def _change(table: dict, default: float, kind: Column, r: Column) -> Column:
     return out
 
 
+def _scaled(s: str):
+    return lambda value, e: value * e[f"x_{s}"]
+
+
+def _shifted(s: str):
+    return lambda value, e: value + e[f"p_{s}"]
+
+
 def overlay_scenarios(readings: DataFrame, scenarios: DataFrame, key: str = "site",
                       layout: Layout = LAYOUT) -> DataFrame:
     """Readings with the scenarios applied; ``event_type`` and ``potability`` follow the
@@ -92,10 +100,10 @@ def overlay_scenarios(readings: DataFrame, scenarios: DataFrame, key: str = "sit
     new = {}
     for s in SCALE:
         if s in have:
-            new[s] = F.aggregate("_fx", F.col(s), lambda acc, e, s=s: acc * e[f"x_{s}"])
+            new[s] = F.aggregate("_fx", F.col(s), _scaled(s))
     for s in SHIFT:
         if s in have and s != "ph":
-            new[s] = F.aggregate("_fx", F.col(s), lambda acc, e, s=s: acc + e[f"p_{s}"])
+            new[s] = F.aggregate("_fx", F.col(s), _shifted(s))
     if "ph" in have:
         new["ph"] = F.aggregate("_fx", F.col("ph"), lambda acc, e: F.coalesce(e["held"], acc + e["p_ph"]))
     last = F.element_at("_fx", -1)["_type"]

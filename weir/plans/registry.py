@@ -23,6 +23,14 @@ def rounded(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """As :func:`rounded`, but rolling means at single precision: means of few-digit values
+    often lie exactly between two 6-digit decimals."""
+    means = [c for c in df.columns if c.endswith("_mean")]
+    out = rounded(df, [c for c, t in df.dtypes if t == "double" and c not in means])
+    return out.select(*[F.col(c).cast("float").cast("double").alias(c) if c in means else F.col(c) for c in out.columns])
+
+
 def alert_table(spark: SparkSession, sf: str) -> DataFrame:
     """Alert levels of all readings; its parts are written once per application."""
     return remembered(spark, ("alerts", sf), lambda: A.alert_states(readings(spark, sf), keep=["ts", "event_type"]))
@@ -65,7 +73,7 @@ def _message_head(df: DataFrame) -> DataFrame:
 
 def _features(r: DataFrame) -> DataFrame:
     f = X.build_features(r)
-    return rounded(f.select("site", "seq", "event_type", "potability", *X.feature_columns(f)))
+    return shown(f.select("site", "seq", "event_type", "potability", *X.feature_columns(f)))
 
 
 def sql_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,7 +95,7 @@ def sql_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "last_n_readings": lambda r: R.last_n(r, 288).select("site", "seq", "event_id", "ts"),
         "limit_breaches": lambda r: rounded(Q.limit_breaches(r), ["value"]),
         "event_counts": V.event_counts,
-        "rolling_stats": lambda r: rounded(X.add_rolling(r).drop("event_id", "ts", "event_type", "potability", *SENSORS)),
+        "rolling_stats": lambda r: shown(X.add_rolling(r).drop("event_id", "ts", "event_type", "potability", *SENSORS)),
         "ewma": lambda r: rounded(X.add_ewma(r).select(*IDS, *[f"{s}_ewma_{k}" for s in SENSORS for k in SPANS])),
         "diffs": lambda r: rounded(X.add_diffs(r).select(*IDS, *[f"{s}_diff{k}" for s in SENSORS for k in DIFFS])),
         "lags": lambda r: rounded(X.add_lags(r).select(*IDS, *[f"{s}_lag{k}" for s in SENSORS for k in LAGS])),
@@ -119,7 +127,7 @@ def sql_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_summary": V.alert_summary,
         "alert_stats": V.alert_stats,
         "lead_times": V.lead_times,
-        "lead_time_histogram": V.lead_time_histogram,
+        "lead_time_histogram": lambda a: V.lead_time_histogram(a, width_s=7200, bins=24),
         "false_alarms_per_day": lambda a: rounded(rounded(V.false_alarms_per_day(a), ["days", "per_day"]), ["mean_detect_s"], 3),
         "risk_stability": lambda a: rounded(V.risk_stability(a)),
         "alert_episodes": V.alert_episodes,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import CAUSES, LAYOUT, LIMITS, SENSORS, AlertParams, Layout
 from ..functions.scoring import deviation_score, potable_probability, risk_level, risk_raw, scored_sensors
-from ..functions.text import cause_text, pretty, value_with_unit
+from ..functions.text import cause_text, pretty, round_binary, value_with_unit
 from ..operators.alerts import alert_states
 from ..operators.chunks import CHUNK, carry, div, in_chunk
 from ..operators.diagnosis import diagnose, rule_hits_column
@@ -24,7 +24,7 @@ RANGES = {"6h": 72, "12h": 144, "24h": 288, "48h": 576, "7d": 2016, "all": 0}
 # ---------------------------------------------------------------- risk breakdown
 
 def _parts(columns, digits: int | None = None):
-    show = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
+    show = (lambda c: round_binary(c, digits)) if digits is not None else (lambda c: c)
     for s in scored_sensors(columns):
         lim, score = LIMITS[s], deviation_score(s)
         yield s, [F.col(s).alias("value"), show(score).alias("deviation_score"), F.lit(lim.weight).alias("weight"),
@@ -58,7 +58,7 @@ def score_readings(df: DataFrame, digits: bool = False, raw_only: bool = True, c
     ``digits=True`` rounds for display as the service response does."""
     scored = diagnose(df.withColumn("risk_index", risk_raw(df.columns)), cause_model, raw_only=raw_only)
     prob = potable_probability("risk_index")
-    show = (lambda c, d: F.bround(c, d)) if digits else (lambda c, d: c)
+    show = (lambda c, d: round_binary(c, d)) if digits else (lambda c, d: c)
     ids = [c for c in ("site", "ts", "seq", "event_id") if c in df.columns]
     return scored.select(
         *ids, show(F.col("risk_index"), 1).alias("risk_index"), risk_level("risk_index").alias("risk_level"),
@@ -79,8 +79,8 @@ def message_column(columns, digits: int = 3):
     event = F.col("event_type") if "event_type" in columns else F.lit("normal")
     return F.to_json(F.struct(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        F.struct(*[F.bround(s, digits).alias(s) for s in sensors]).alias("sensors"),
-        F.bround(risk_raw(columns), 1).alias("risk_index"), event.alias("event_type"), cause.alias("cause")))
+        F.struct(*[round_binary(s, digits).alias(s) for s in sensors]).alias("sensors"),
+        round_binary(risk_raw(columns), 1).alias("risk_index"), event.alias("event_type"), cause.alias("cause")))
 
 
 def messages(df: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def feed_labels(df: DataFrame, sensors=None) -> DataFrame:
     """Short sensor captions and values of the live feed, one row per sensor present."""
     have = [s for s in (sensors or SENSORS) if s in df.columns]
     arr = F.array(*[F.when(F.col(s).isNotNull(), F.struct(pretty(F.lit(s), 10).alias("caption"),
-                                                          F.format_string("%.1f", F.col(s)).alias("text"))) for s in have])
+                                                          F.format_string("%.1f", round_binary(s, 1)).alias("text"))) for s in have])
     return df.select("site", "seq", F.inline(F.filter(arr, lambda x: x.isNotNull())))
 
 
@@ -113,7 +113,7 @@ def latest(df: DataFrame, key: str = "site") -> DataFrame:
 
 def latest_diagnosis(df: DataFrame, n: int = 288, raw_only: bool = True, layout: Layout = LAYOUT) -> DataFrame:
     """Alert banner: newest reading per site with its risk, alert level and diagnosis."""
-    alerts = alert_states(last_n(df, n), layout=layout)
+    alerts = alert_states(last_n(df, n), one_chunk=0 < n <= layout.chunk, layout=layout)
     now = diagnose(latest(alerts), raw_only=raw_only)
     shown = F.col("alert_level") != "normal"
     return now.select(
@@ -138,7 +138,7 @@ def event_counts(df: DataFrame, include_normal: bool = False) -> DataFrame:
 
 def data_table(df: DataFrame, n: int = 288, rows: int = 200, layout: Layout = LAYOUT) -> DataFrame:
     """The newest ``rows`` readings of each site's slice, newest first, with risk and alert level."""
-    full = alert_states(last_n(df, n), layout=layout)
+    full = alert_states(last_n(df, n), one_chunk=0 < n <= layout.chunk, layout=layout)
     cols = [c for c in ("ts", "site", *SENSORS, "risk", "alert_level", "event_type") if c in full.columns]
     sizes = series_sizes(full)
     return (full.join(sizes, "site").filter(F.col("seq") >= F.col("n_rows") - rows)
