@@ -117,9 +117,12 @@ class Layout:
     back on. ``block`` is the grain of the per-series index from which values that
     must cross a chunk (null runs, alert states) are carried, and ``fan`` the
     number of index rows folded into one at the next level up.
+
+    A chunk with its halo stays below 4096 rows, the size up to which a window keeps its
+    rows in memory by default (spark.sql.windowExec.buffer.in.memory.threshold).
     """
 
-    chunk: int = 8192
+    chunk: int = 3072
     block: int = 1024
     fan: int = 1024
     ewma_block: int = 512

@@ -62,7 +62,9 @@ def window_features(df: DataFrame, want: Wanted, backfill: bool = True, eps: flo
     fill = bool(want.lags) and backfill
     gaps = sensors_with_gaps(df, sensors) if fill or pairs else []
     halo = max(0, *(w - 1 for w in windows or (1,)), *(back or (0,)))
-    out = with_chunks(df, halo_rows(want.spans, halo, layout) if pairs else halo, layout, key)
+    if pairs:
+        halo = max(halo_rows(want.spans, layout=layout), -(-halo // layout.ewma_block) * layout.ewma_block)
+    out = with_chunks(df, halo, layout, key)
     if fill and gaps:  # value at or after each row, within the chunk
         later = f"OVER (PARTITION BY {key}, {CHUNK} ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         out = out.selectExpr("*", *[
