@@ -1,0 +1,209 @@
+"""Stateful stream operators: smoothed risk and alert level, and rolling features.
+
+State is per site and small: a few numbers for the smoothing and the alert machine, the
+last 72 readings for features, and the readings that wait for the watermark. Readings
+are released in event-time order once the watermark has passed them, so late and
+out-of-order arrivals within the delay change nothing. Scoring happens before the
+state, in parallel; only (site, ts, risk) reaches it. The source's rate limit
+(``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds what one trigger brings per site.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..config import DIFFS, LAGS, RISK_SPAN, SENSORS, SPANS, STUCK_EPS, STUCK_WINDOW, WINDOWS, AlertParams
+from ..functions.scoring import risk_raw
+from ..operators.alerts import LEVELS
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _InOrder(StatefulProcessor):
+    """Holds readings back until the watermark passes them, then hands them on by time."""
+
+    columns: tuple[str, ...] = ()
+    waiting_schema = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+
+    def _hold(self, frames: Iterator[pd.DataFrame]) -> None:
+        first = None
+        for pdf in frames:
+            rows = [tuple(r) for r in pdf[list(self.columns)].itertuples(index=False)]
+            if rows:
+                self.waiting.appendList([self._plain(r) for r in rows])
+                low = pdf["us"].min()
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(int(first // 1000) + 1)
+
+    @staticmethod
+    def _plain(row: tuple) -> tuple:
+        return tuple(None if v is None or v != v else (int(v) if isinstance(v, (int, np.integer)) else float(v)) for v in row)
+
+    def _release(self, watermark_ms: int) -> pd.DataFrame:
+        if not self.waiting.exists():
+            return pd.DataFrame(columns=self.columns)
+        pdf = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=self.columns)
+        due = pdf["us"] <= watermark_ms * 1000
+        rest = pdf[~due]
+        if rest.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put([self._plain(r) for r in rest.itertuples(index=False)])
+            self.handle.registerTimer(int(rest["us"].min() // 1000) + 1)
+        return pdf[due].sort_values("us", kind="stable")
+
+    def handleInputRows(self, key, rows, timerValues):
+        self._hold(rows)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = self._release(timerValues.getCurrentWatermarkInMs())
+        if not due.empty:
+            yield self.step(key[0], due)
+
+    def step(self, site: str, due: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class AlertProcessor(_InOrder):
+    columns = ("us", "risk_raw")
+    waiting_schema = "us long, risk_raw double"
+    output = "site string, us long, risk double, alert_level string, alert_changed boolean"
+
+    def __init__(self, params: AlertParams = AlertParams(), span: int = RISK_SPAN):
+        self.params, self.q = params, 1 - 2 / (span + 1)
+
+    def init(self, handle):
+        super().init(handle)
+        self.memory = handle.getValueState("memory", "num double, den double, warm int, hot int, level int")
+
+    def step(self, site, due):
+        p = self.params
+        num, den, warm, hot, level = self.memory.get() if self.memory.exists() else (0.0, 0.0, 0, 0, 0)
+        out = []
+        for us, x in zip(due["us"], due["risk_raw"]):
+            num, den = self.q * num + x, self.q * den + 1.0
+            risk = min(max(num / den, 0.0), 100.0)
+            hot = hot + 1 if risk >= p.crit else 0
+            warm = warm + 1 if risk >= p.warn else 0
+            old = level
+            if hot >= p.persistence:
+                level = 2
+            elif level == 0 and warm >= p.persistence:
+                level = 1
+            elif level == 1 and risk < p.warn - p.hysteresis:
+                level = 0
+            elif level == 2 and risk < p.crit - p.hysteresis:
+                level = 1 if risk >= p.warn else 0
+            out.append((site, int(us), risk, LEVELS[level], level != old))
+        self.memory.update((float(num), float(den), int(warm), int(hot), int(level)))
+        return pd.DataFrame(out, columns=["site", "us", "risk", "alert_level", "alert_changed"])
+
+
+class FeatureProcessor(_InOrder):
+    """Rolling, lag, difference, stuck and exponential features of released readings. Lags
+    before a series' first reading are null: a stream cannot fill from the future."""
+
+    columns = ("us", *SENSORS)
+    waiting_schema = "us long, " + ", ".join(f"{s} double" for s in SENSORS)
+    keep = max(*WINDOWS, *LAGS)
+    names = [f"{s}_w{w}_{k}" for s in SENSORS for w in WINDOWS for k in ("mean", "std", "min", "max", "range")] + \
+        [f"{s}_ewma_{k}" for s in SENSORS for k in SPANS] + [f"{s}_diff{k}" for s in SENSORS for k in DIFFS] + \
+        [f"{s}_lag{k}" for s in SENSORS for k in LAGS] + [f"{s}_stuck" for s in SENSORS]
+    output = "site string, us long, " + ", ".join(f"{n} {'int' if n.endswith('_stuck') else 'double'}" for n in names)
+
+    def init(self, handle):
+        super().init(handle)
+        self.history = handle.getListState("history", self.waiting_schema)
+        self.means = handle.getValueState("means", "sums array<double>")
+
+    def _ewma(self, due):
+        sums = list(self.means.get()[0]) if self.means.exists() else [0.0] * (3 * len(SENSORS) * len(SPANS))
+        out, i = {}, 0
+        for s in SENSORS:
+            values = due[s].to_numpy(dtype=float)
+            for span in SPANS:
+                q = 1 - 2 / (span + 1)
+                num, den, last = sums[i:i + 3]
+                res = np.empty(len(values))
+                for j, x in enumerate(values):
+                    num, den = num * q, den * q
+                    if x == x:
+                        num, den = num + x, den + 1.0
+                        last = num / den
+                    res[j] = last if den > 0 or last else np.nan
+                sums[i:i + 3] = [num, den, last]
+                out[f"{s}_ewma_{span}"] = res
+                i += 3
+        self.means.update(([float(v) for v in sums],))
+        return out
+
+    def step(self, site, due):
+        past = [tuple(r) for r in self.history.get()] if self.history.exists() else []
+        both = pd.concat([pd.DataFrame(past, columns=self.columns), due[list(self.columns)]], ignore_index=True) \
+            if past else due[list(self.columns)].reset_index(drop=True)
+        both = both.astype({s: float for s in SENSORS})
+        n, cols = len(due), {}
+        for s in SENSORS:
+            v = both[s]
+            for w in WINDOWS:
+                r = v.rolling(w, min_periods=1)
+                lo, hi = r.min(), r.max()
+                cols.update({f"{s}_w{w}_mean": r.mean(), f"{s}_w{w}_std": r.std().fillna(0.0).where(lo < hi, 0.0),
+                             f"{s}_w{w}_min": lo, f"{s}_w{w}_max": hi, f"{s}_w{w}_range": hi - lo})
+            for k in DIFFS:
+                cols[f"{s}_diff{k}"] = v.diff(k).fillna(0.0)
+            for k in LAGS:
+                cols[f"{s}_lag{k}"] = v.shift(k)
+            cols[f"{s}_stuck"] = (cols[f"{s}_w{STUCK_WINDOW}_std"] < STUCK_EPS).astype("int32")
+        out = {k: v.iloc[-n:].to_numpy() for k, v in cols.items()}
+        out.update(self._ewma(due))
+        tail = both.iloc[-self.keep:]
+        self.history.put([self._plain(r) for r in tail.itertuples(index=False)])
+        res = pd.DataFrame({"site": site, "us": due["us"].to_numpy(), **{c: out[c] for c in self.names}})
+        return res
+
+
+def _with_state(stream: DataFrame, cols: list, processor: _InOrder, delay: str, dedupe: bool) -> DataFrame:
+    spark = stream.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.withWatermark("ts", delay)
+    if dedupe:
+        rows = rows.dropDuplicatesWithinWatermark(["site", "ts"])
+    slim = rows.select("site", "ts", F.unix_micros("ts").alias("us"), *cols)
+    return slim.groupBy("site").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.output, outputMode="append", timeMode="EventTime",
+    ).withColumn("ts", F.timestamp_micros("us"))
+
+
+def alert_stream(stream: DataFrame, params: AlertParams = AlertParams(), span: int = RISK_SPAN,
+                 delay: str = "1 hour", dedupe: bool = False) -> DataFrame:
+    """Smoothed risk and alert level per reading, in event-time order per site."""
+    return _with_state(stream, [risk_raw(stream.columns).alias("risk_raw")], AlertProcessor(params, span), delay, dedupe)
+
+
+def feature_stream(stream: DataFrame, delay: str = "1 hour", dedupe: bool = False) -> DataFrame:
+    """Window features per reading, in event-time order per site."""
+    return _with_state(stream, list(SENSORS), FeatureProcessor(), delay, dedupe)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain what the source holds now into a parquet table and return it."""
+    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
