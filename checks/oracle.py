@@ -372,9 +372,15 @@ def statements() -> dict[str, str]:
     for name, n in (("site_comparison", 50), ("site_comparison_24h", 288)):
         q[name] = (f"{sliced(n)} SELECT site, {r6('max_by(risk, seq)', 'current_risk')}, {r6('avg(risk)', 'avg_risk')}, {r6('max(risk)', 'max_risk')}, "
                    f"count(*) AS n_readings, upper({level('max_by(risk, seq)')}) AS status FROM risk GROUP BY site")
+    q["raw_csv_profile"] = profile()
+    q["partitioned_sink"] = f"{WITH_R} SELECT site, ts, event_type, potability, {r6s(SENSORS)} FROM r WHERE site IN ('S1', 'S3')"
+    q["stream_scores"] = f"{WITH_RAW} SELECT {ids}, {r6('risk_raw', 'risk_index')}, {level('risk_raw')} AS risk_level, {primary(RAW_HITS)} AS cause FROM raw"
+    q["stream_alerts"] = (f"{WITH_AL} SELECT site, ts, {r6('risk')}, alert_level, alert_changed FROM al "
+                          "WHERE epoch_us(ts) <= (SELECT max(epoch_ms(ts)) - 3600000 FROM al) * 1000")
     q["data_table"] = (f"{sliced(288)}, {ALERTS} SELECT ts, site, {r6s(SENSORS)}, {r6('risk')}, alert_level, event_type FROM al WHERE seq >= n_rows - 200")
     q["latest_diagnosis"] = (
         f"{sliced(288)}, {ALERTS} SELECT site, ts, {r6('risk')}, {level('risk')} AS risk_level, alert_level, "
         f"CASE WHEN alert_level <> 'normal' THEN {primary(RAW_HITS)} END AS banner_cause, CASE WHEN alert_level <> 'normal' THEN {confidence(RAW_HITS)} END AS banner_confidence, "
         f"{primary(RAW_HITS)} AS primary_cause, {lookup(primary(RAW_HITS), CAUSE_TEXT)} AS cause_text FROM al WHERE seq = n_rows - 1")
+    q["csv_export"] = q["data_table"]
     return q

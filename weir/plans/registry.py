@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import DIFFS, LAGS, LIMITS, SENSORS, SPANS
+from ..config import DIFFS, LAGS, LIMITS, RAW_TO_SENSOR, SENSORS, SPANS
 from ..functions.calendar import add_time_encodings
 from ..functions.scoring import deviation_score, risk_level, risk_raw
 from ..operators import alerts as A, diagnosis as D, features as X, quality as Q, risk as R, scenarios as N, splits as P
 from ..sources.fixture import readings
-from ..storage import remembered
-from . import views as V
+from ..sources import io as IO
+from ..storage import new_path, once, remembered
+from ..streaming import scoring as SS, stateful as ST
+from . import models as M, views as V
 
 IDS = ("site", "seq")
 
@@ -145,3 +147,165 @@ def sql_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**{k: _readings_query(f) for k, f in on_readings.items()},
             **{k: _alerts_query(f) for k, f in on_alerts.items()},
             **{k: _rules_query(f) for k, f in on_rules.items()}}
+
+
+# ---------------------------------------------------------------- files
+
+def raw_csv_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw-sample path: a headed CSV under the original column names, read back and profiled."""
+    path = new_path(spark, "raw-csv")
+    original = {v: k for k, v in RAW_TO_SENSOR.items()}
+    readings(spark, sf).select(*[F.col(c).alias(original[c]) for c in SENSORS],
+                               F.col("potability").alias("Potability")).write.option("header", True).csv(path)
+    return rounded(Q.sensor_profile(IO.read_raw_csv(spark, path)))
+
+
+def partitioned_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Store all readings by site, then read two sites back (partition pruning)."""
+    path = new_path(spark, "by-site")
+    IO.write_readings(readings(spark, sf).select("site", "ts", *SENSORS, "potability", "event_type"), path)
+    return rounded(IO.read_readings(spark, path, ["S1", "S3"]).select("site", "ts", "event_type", "potability", *SENSORS))
+
+
+def csv_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Export the reading view with risk and alert level, and read the file back."""
+    path = new_path(spark, "export")
+    view = V.data_table(readings(spark, sf))
+    IO.write_csv(view, path)
+    return rounded(spark.read.schema(view.schema).option("header", True).csv(path))
+
+
+# ---------------------------------------------------------------- models
+
+SMALL = M.TreeParams(max_iter=5, max_depth=4, n_trees=10)
+
+
+def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    return once(spark, ("features", sf), lambda: P.ordered_split(X.build_features(readings(spark, sf))))
+
+
+def _columns(f: DataFrame) -> list[str]:
+    return [c for c in X.feature_columns(f) if c != "role"]
+
+
+def _potability(spark, sf):
+    f = feature_table(spark, sf)
+    return remembered(spark, ("potability", sf), lambda: M.train_potability(f, _columns(f), p=SMALL))
+
+
+def _cause(spark, sf):
+    f = feature_table(spark, sf)
+    return remembered(spark, ("cause", sf), lambda: M.train_cause(f, _columns(f), p=SMALL))
+
+
+def _forecasts(spark, sf):
+    f = feature_table(spark, sf).drop("role")
+    return remembered(spark, ("forecasts", sf), lambda: M.train_forecasts(f, X.feature_columns(f), sensors=("ph", "chloramine"), p=SMALL))
+
+
+def _held_out(spark, sf):
+    return feature_table(spark, sf).filter("role = 'validate'")
+
+
+def potability_model(spark, sf):
+    return M.potability_metrics(_potability(spark, sf), _held_out(spark, sf))
+
+
+def cause_model_report(spark, sf):
+    return V.classification_report(M.with_predicted_cause(_cause(spark, sf), _held_out(spark, sf)), "event_type", "predicted_cause")
+
+
+def cause_confusion(spark, sf):
+    return V.confusion(M.with_predicted_cause(_cause(spark, sf), _held_out(spark, sf)), "event_type", "predicted_cause")
+
+
+def ml_hits(spark, sf):
+    return D.diagnose(_held_out(spark, sf), _cause(spark, sf)).select("site", "seq", F.inline("diagnosis.ml_predictions"))
+
+
+def hybrid_diagnosis_ml(spark, sf):
+    d = D.diagnose(_held_out(spark, sf), _cause(spark, sf))
+    return d.select("site", "seq", "event_type", "diagnosis.primary_cause", "diagnosis.confidence")
+
+
+def cause_attribution(spark, sf):
+    """Rows in which the classifier sees a cause other than normal operation."""
+    model = _cause(spark, sf)
+    rows = M.with_predicted_cause(model, _held_out(spark, sf)).filter("predicted_cause <> 'normal'")
+    return M.cause_attribution(rows.drop("probability", "prediction", "predicted_cause"), model)
+
+
+def feature_importance(spark, sf):
+    return M.importances(_potability(spark, sf), spark)
+
+
+def top_importances(spark, sf):
+    return feature_importance(spark, sf).limit(15)
+
+
+def forecast_mae(spark, sf):
+    return M.forecast_mae(_forecasts(spark, sf), feature_table(spark, sf).drop("role"))
+
+
+def forecast_residuals_ml(spark, sf):
+    return M.forecast_residual_scores(_forecasts(spark, sf)["ph"], feature_table(spark, sf).drop("role"), "ph")
+
+
+def future_risk(spark, sf):
+    return M.future_risk(_forecasts(spark, sf), feature_table(spark, sf).drop("role"))
+
+
+def cross_validation(spark, sf):
+    f = feature_table(spark, sf).drop("role")
+    return M.cross_validate(f, X.feature_columns(f), p=M.TreeParams(max_depth=4, n_trees=5))
+
+
+def model_save_load(spark, sf):
+    """Predictions of the cause model after a round trip through storage."""
+    path = new_path(spark, "cause-model")
+    M.save_model(_cause(spark, sf), path)
+    return M.with_predicted_cause(M.load_model(spark, path), _held_out(spark, sf)).select("site", "seq", "predicted_cause")
+
+
+# ---------------------------------------------------------------- streams
+
+def _replay(spark: SparkSession, sf: str) -> DataFrame:
+    r = readings(spark, sf)
+
+    def lay_out():
+        path = new_path(spark, "replay")
+        SS.write_in_time_order(r, path, max(4, r.count() // 1_000_000))
+        return path
+
+    return SS.replay(spark, remembered(spark, ("replay", sf), lay_out), r.schema)
+
+
+def _drained(spark: SparkSession, name: str, stream: DataFrame) -> DataFrame:
+    return ST.run_to_table(stream, new_path(spark, name), new_path(spark, f"{name}-progress"))
+
+
+def stream_scores(spark, sf):
+    out = _drained(spark, "scores", SS.score_stream(_replay(spark, sf)))
+    return rounded(out.select("site", "seq", "risk_index", "risk_level", "cause"))
+
+
+def stream_alerts(spark, sf):
+    """All readings the watermark has passed, i.e. all but those of the last hour."""
+    out = _drained(spark, "alerts", ST.alert_stream(_replay(spark, sf), delay="1 hour"))
+    return rounded(out.select("site", "ts", "risk", "alert_level", "alert_changed"))
+
+
+def stream_features(spark, sf):
+    return _drained(spark, "features", ST.feature_stream(_replay(spark, sf), delay="1 hour"))
+
+
+def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries that go through files, fitted models or streams."""
+    return {f.__name__: f for f in (
+        raw_csv_profile, partitioned_sink, csv_export, potability_model, cause_model_report, cause_confusion, ml_hits,
+        hybrid_diagnosis_ml, cause_attribution, feature_importance, top_importances, forecast_mae, forecast_residuals_ml,
+        future_risk, cross_validation, model_save_load, stream_scores, stream_alerts, stream_features)}
+
+
+def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**sql_queries(), **job_queries()}

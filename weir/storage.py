@@ -10,12 +10,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _local_root: dict[str, str] = {}
 _tables: dict[tuple, str] = {}
-_frames: dict[tuple, DataFrame] = {}
+_frames: dict[tuple, object] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,9 +63,9 @@ def forget(spark: SparkSession) -> None:
             del known[key]
 
 
-def remembered(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """The same DataFrame for the same key within an application, so that the tables it was
-    built on are written once."""
+def remembered(spark: SparkSession, key: tuple, build: Callable[[], T]) -> T:
+    """The same object (a DataFrame, a fitted model, a path) for the same key within an
+    application, so that what it was built from is written or fitted once."""
     full = (spark.sparkContext.applicationId, *key)
     if full not in _frames:
         _frames[full] = build()
