@@ -172,7 +172,7 @@ def csv_export(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "export")
     view = V.data_table(readings(spark, sf))
     IO.write_csv(view, path)
-    return rounded(spark.read.schema(view.schema).option("header", True).csv(path))
+    return rounded(spark.read.schema(view.schema).options(header=True, **IO.CSV_TIME).csv(path))
 
 
 # ---------------------------------------------------------------- models
@@ -181,7 +181,9 @@ SMALL = M.TreeParams(max_iter=5, max_depth=4, n_trees=10)
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, ("features", sf), lambda: P.ordered_split(X.build_features(readings(spark, sf))))
+    """Features are written before the split joins them with their series sizes: over the
+    unwritten plan the join would compute them twice."""
+    return P.ordered_split(once(spark, ("features", sf), lambda: X.build_features(readings(spark, sf))))
 
 
 def _columns(f: DataFrame) -> list[str]:

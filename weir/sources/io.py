@@ -60,9 +60,12 @@ def write_readings(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).partitionBy("site").parquet(path)
 
 
+CSV_TIME = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}  # whole microseconds
+
+
 def write_csv(df: DataFrame, path: str, columns=None, mode: str = "error") -> None:
     cols = [c for c in (columns or df.columns) if c in df.columns]
-    df.select(*cols).write.mode(mode).option("header", True).csv(path)
+    df.select(*cols).write.mode(mode).options(header=True, **CSV_TIME).csv(path)
 
 
 def write_messages(df: DataFrame, path: str, mode: str = "error") -> None:
