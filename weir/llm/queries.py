@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_fm, simhash, topk, toxicity
+from . import bpe, mixing, quality_fm, quality_rules, secrets, simhash, topk, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,14 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.shown(simhash.near_duplicates(table(spark, sf, "documents")))
 
 
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.rates(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_fm.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -35,6 +43,10 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf, "documents"))
+
+
 OP1_SQL = """
 WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -46,9 +58,43 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+# Quantiles are exact here; the sketches are exact as well while a group has fewer texts than their size.
+OP5_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+ g AS (SELECT id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+ c AS (SELECT id, i, count(*) OVER (PARTITION BY id, gram) AS n FROM g),
+ r AS (SELECT id, CAST(count(DISTINCT p) AS BIGINT) AS n_repeat_words FROM (SELECT id, unnest(range(i, i + 8)) AS p FROM c WHERE n > 1) GROUP BY id),
+ b AS (SELECT w.id, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (id)),
+ s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         CAST(1000 * n_symbols // greatest(word_chars, 1) AS BIGINT) AS symbols, CAST(1000 * n_capitals // greatest(word_chars, 1) AS BIGINT) AS capitals,
+         CAST(1000 * n_dup_lines // greatest(n_lines, 1) AS BIGINT) AS dup_lines, CAST(100 * word_chars // greatest(n_words, 1) AS BIGINT) AS word_length FROM b),
+ l AS (UNPIVOT (SELECT id, lang, source, symbols, capitals, dup_lines, word_length FROM s WHERE NOT base_failed)
+       ON symbols, capitals, dup_lines, word_length INTO NAME share VALUE x),
+ q AS (SELECT lang, source, grouping(lang, source) AS level, share, count(*) AS n, list_sort(list(x)) AS xs FROM l
+       GROUP BY GROUPING SETS ((lang, source, share), (lang, share), (share))),
+ f AS (SELECT lang, source, level, share, n, xs[CAST(ceil(0.25 * n) AS BIGINT)] AS q1, xs[CAST(ceil(0.75 * n) AS BIGINT)] AS q3,
+         CASE share WHEN 'symbols' THEN 5 WHEN 'capitals' THEN 20 ELSE 50 END AS least FROM q),
+ e AS (SELECT lang, source, level, share, n, CASE WHEN share = 'word_length' THEN q1 - 8 * greatest(q3 - q1, least) ELSE 0 END AS low,
+         q3 + 8 * greatest(q3 - q1, least) AS high FROM f),
+ h AS (SELECT o.lang, o.source, o.share, CASE WHEN o.n >= 40 THEN o.low WHEN m.n >= 40 THEN m.low ELSE a.low END AS low,
+         CASE WHEN o.n >= 40 THEN o.high WHEN m.n >= 40 THEN m.high ELSE a.high END AS high
+       FROM e o JOIN e m ON m.level = 1 AND m.lang = o.lang AND m.share = o.share JOIN e a ON a.level = 3 AND a.share = o.share WHERE o.level = 0),
+ v AS (SELECT l.id, bool_and(x BETWEEN low AND high) AS inside FROM l JOIN h USING (lang, source, share) GROUP BY l.id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, FALSE) AS kept,
+  symbols, capitals, dup_lines, word_length FROM s LEFT JOIN v USING (id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_simhash, op7_quality, op8_bpe)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_simhash, op5_quality_rules, op6_mixing, op7_quality, op8_bpe, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op5_quality_rules": OP5_SQL}
