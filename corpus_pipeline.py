@@ -8,23 +8,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import simhash
+from weir.llm import bpe, mixing, quality_rules, secrets, simhash
 from weir.llm.common import table
+from weir.llm.queries import RANKS
 from weir.shipping import ship
 from weir.storage import written
 
 
+def passing_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.passing(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     ship(spark)
     return simhash.one_of_each(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rate says, so that domains get their shares of the tokens."""
+    return mixing.drawn(docs, table(spark, sf_dir, "labels"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes decoded from them."""
+    ship(spark)
+    return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+
+
+STAGES = [("quality_rules", passing_rules), ("near_duplicates", near_duplicates), ("secrets", without_secrets), ("mixing", mixed), ("tokens", tokens)]
 
-#: The pipeline learns models and sketches; its stages are tested against brute force.
+#: The stages learn sketches and models; they are tested against brute-force versions instead.
 ORACLE_SQL = None
 
 
