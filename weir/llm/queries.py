@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_fm, quality_rules, secrets, simhash, topk, toxicity
+from . import bpe, chaining, mixing, quality_fm, quality_rules, secrets, simhash, suffix_dedup, topk, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,10 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.shown(simhash.near_duplicates(table(spark, sf, "documents")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf, "documents"))
 
@@ -47,6 +51,10 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secrets(table(spark, sf, "documents"))
 
 
+def op10_chaining(spark: SparkSession, sf: str) -> DataFrame:
+    return chaining.passage_groups(table(spark, sf, "documents"))
+
+
 OP1_SQL = """
 WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -93,7 +101,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_simhash, op5_quality_rules, op6_mixing, op7_quality, op8_bpe, op9_secrets)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_simhash, op4_suffix_dedup, op5_quality_rules, op6_mixing, op7_quality,
+                                    op8_bpe, op9_secrets, op10_chaining)}
 
 
 def oracle_sql() -> dict[str, str]:
