@@ -26,6 +26,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` (null where a column is missing) and the whole row as ``row``, so that no column of
+    the rows can clash with one of ours."""
+    cols = [(F.col(c) if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in needed]
+    return docs.select(F.struct(*docs.columns).alias("row"), *cols)
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` as a lambda variable, so that ``value`` is computed once per row
     however often ``body`` (also inside its own lambdas) refers to it."""

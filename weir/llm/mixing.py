@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import written
-from .common import bound, whole_text
+from .common import bound, packed, whole_text
 from .quality_rules import SPACE
 
 #: Expected shares of the tokens.
@@ -169,8 +169,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` mixed: every row as often as its rate says, the fraction drawn by a hash of its id
     and text, so that a repeated run draws the same."""
-    out = mix(docs, domains_of(labels), targets)
+    out = mix(packed(docs, "doc_id", "text"), domains_of(labels), targets)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     times = F.floor(F.col("_rate") + draw).cast("int")
     return out.withColumn("_times", times).filter("_times > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import written
-from .common import bound, join_small, whole_text
+from .common import bound, join_small, packed, whole_text
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -129,4 +129,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    return judge(packed(docs, "text", "lang", "source")).filter("kept").select("row.*")

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import written
-from .common import bound, whole_text
+from .common import bound, packed, whole_text
 
 # Kinds in their order, patterns, the group that is measured, and its least length.
 KINDS = {
@@ -167,9 +167,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets of its texts masked and n_chars counted anew where a text changed."""
-    out = scan(docs)
+    out = scan(packed(docs, "doc_id", "text"))
     hit = F.size("spans") > 0
-    text = F.when(hit, masked(whole_text(), F.col("spans"))).otherwise(F.col("text"))
-    done = out.withColumn("_new", text)
-    n_chars = F.when(hit, F.length("_new")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
-    return done.withColumns({"text": F.col("_new")} | ({"n_chars": n_chars} if n_chars is not None else {})).select(*docs.columns)
+    row = F.col("row").withField("text", F.col("_new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(hit, F.length("_new").cast("long")).otherwise(F.col("row.n_chars")))
+    changed = F.when(hit, masked(whole_text(), F.col("spans"))).otherwise(F.col("text"))
+    return out.withColumn("_new", changed).select(row.alias("row")).select("row.*")
