@@ -35,7 +35,9 @@ ORDINARY = r"[A-Za-z0-9_-]{6,}"
 #: Documents the models are counted on, in expectation.
 SAMPLE = 4_000
 #: Least ratio of a token, in thousandths of a nat, in total and for each of its steps.
-LEAST, LEAST_STEP = 12_000, 400
+LEAST, LEAST_STEP = 12_000, 600
+#: Weight of the single characters' frequencies in a pair's.
+WEIGHT = 10.0
 MASK = "[SECRET]"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -96,8 +98,14 @@ def ratios(scanned: DataFrame, n: int = SAMPLE) -> list[int]:
     wide = F.base64(F.unhex(digest))
     made = F.array(F.substring(digest, 1, 40), wide, F.upper(F.regexp_replace(wide, "[+/=]", "")), F.regexp_replace(wide, "[+/=]", ""))
     random = some.select(F.explode(F.concat(F.transform("base", value), made)).alias("token"), F.lit(1).alias("random"))
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)))).alias("token"), F.lit(0).alias("random"))
-    ordinary = words.filter(~F.col("token").rlike("[0-9]"))
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))), lambda w: ~w.rlike("[0-9]"))
+
+    def identifiers(ws: Column) -> Column:
+        following = lambda i: F.coalesce(F.get(ws, i + 1), F.get(ws, F.lit(0)))
+        forms = lambda w, n: F.array(w, F.concat_ws("_", w, n), F.concat(w, F.initcap(n)), F.upper(F.concat_ws("_", w, n)))
+        return F.flatten(F.transform(ws, lambda w, i: forms(w, following(i))))
+
+    ordinary = some.select(F.explode(bound(words, identifiers)).alias("token"), F.lit(0).alias("random"))
     tokens = random.unionByName(ordinary).filter(F.length("token") >= 2)
     pairs = tokens.select("random", F.explode(steps(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
     size = len(ALPHABET)
@@ -110,8 +118,10 @@ def ratios(scanned: DataFrame, n: int = SAMPLE) -> list[int]:
         return [0] * (size * size)
 
     def logs(c: list[int]) -> list[float]:
+        """Each pair is smoothed by the frequency of its second character."""
         rows = [sum(c[a * size:(a + 1) * size]) for a in range(size)]
-        return [math.log((c[a * size + b] + 0.5) / (rows[a] + 0.5 * size)) for a in range(size) for b in range(size)]
+        single = [(sum(c[b::size]) + 0.5) / (sum(c) + 0.5 * size) for b in range(size)]
+        return [math.log((c[a * size + b] + WEIGHT * single[b]) / (rows[a] + WEIGHT)) for a in range(size) for b in range(size)]
 
     ordinary_logs, random_logs = logs(counts[0]), logs(counts[1])
     return [round(1000 * (r - o)) for r, o in zip(random_logs, ordinary_logs)]
