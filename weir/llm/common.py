@@ -70,16 +70,16 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def keyed(docs: DataFrame, once: bool = False) -> DataFrame:
-    """doc_id, text and ``doc``, a number that orders documents. It is the doc_id itself where ids
-    are unique; else distinct (doc_id, text) are numbered in order. With ``once`` rows that repeat
-    both appear once."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct documents as (doc, text), where the numbers ``doc`` order them, and the (doc, doc_id)
+    of every row. Where ids are unique the number is the id itself, and None stands for the second
+    table; else distinct (doc_id, text) are numbered in order, rows without id last."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     n, distinct, named = texts.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.count("doc_id")).first()
     if n == distinct == named:
-        return texts.withColumn("doc", F.col("doc_id"))
+        return texts.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text"), None
     marked = texts.withColumn("tie", F.xxhash64("text"))
     known = marked.select("doc_id", "tie").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "tie")
     numbers = docs.sparkSession.createDataFrame(known.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "known long, tie2 long, doc long")
-    named = marked.join(numbers, F.col("doc_id").eqNullSafe(F.col("known")) & (F.col("tie") == F.col("tie2"))).select("doc_id", "text", "doc")
-    return named.dropDuplicates(["doc"]) if once else named
+    rows = marked.join(numbers, F.col("doc_id").eqNullSafe(F.col("known")) & (F.col("tie") == F.col("tie2")))
+    return rows.select("doc", "text").dropDuplicates(["doc"]), rows.select("doc", "doc_id")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_schema, in_batches, keyed
 
 LENGTH = 100
-GRAM = 24
+GRAM = 16
 #: Bytes hashed at a time.
 BLOCK = 4 << 20
 #: Stretches a shard holds about, and the most of one anchor that go to one shard.
@@ -340,8 +340,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of every row."""
-    texts = keyed(docs)
-    joined = texts.join(repeated_spans(texts.select("doc", "text"), length, gram, shard), "doc", "left").select("doc_id", "text", "spans")
+    texts, ids = keyed(docs)
+    # both joins with the texts deal out the same columns, so Spark does it once
+    joined = texts.join(repeated_spans(texts, length, gram, shard), "doc", "left").select("doc", "text", "spans")
 
     def remove(batch: pa.RecordBatch) -> dict:
         out: dict = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
@@ -358,9 +359,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
                 runs, n, kept = 0, 0, raw
             for name, value in zip(out, (len(raw), n, runs, kept)):
                 out[name].append(value)
-        return {"doc_id": batch.column("doc_id")} | out
+        return {"doc": batch.column("doc")} | out
 
-    return in_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", remove)
+    done = in_batches(joined, "doc long, n_bytes long, n_removed long, n_spans long, kept binary", remove)
+    named = done.withColumn("doc_id", F.col("doc")) if ids is None else done.join(ids, "doc")
+    return named.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digests(kept: DataFrame) -> DataFrame:
