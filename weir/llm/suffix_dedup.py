@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import written
 from .common import arrow_schema, in_batches, keyed
 
 LENGTH = 100
@@ -282,7 +283,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
                 "lo": np.concatenate([p[1] for _, p in parts]).astype(np.int32), "n": np.concatenate([p[2] for _, p in parts]).astype(np.int32)}
 
     found = in_batches(texts.select("doc", "text"), "anchor long, doc long, lo int, n int", winnow)
-    shared = found.groupBy("anchor").agg(F.sum(F.when(F.col("n") < 0, 2).otherwise(1)).alias("times")).filter("times > 1")
+    times = found.groupBy("anchor").agg(F.sum(F.when(F.col("n") < 0, 2).otherwise(1)).alias("times")).filter("times > 1")
+    shared = written(times, "shared-anchors")  # a table of its own, so that the join below can split a frequent anchor
     salt = F.pmod(F.xxhash64("doc", "anchor"), F.ceil(F.col("times") / shard))
     dealt = found.join(shared, "anchor").select(
         "doc", "lo", "n", F.when(F.col("times") <= shard, F.pmod("anchor", F.lit(shards))).otherwise(F.xxhash64("anchor", salt)).alias("shard"),
