@@ -108,10 +108,10 @@ def thresholds(judged: DataFrame, sketch: int = SKETCH, min_group: int = MIN_GRO
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, the struct ``rules``, and kept. What is judged is written first,
-    so the texts are read and counted once."""
+    """The columns of ``docs`` but its text, the struct ``rules``, and kept. What is judged is written
+    first, so the texts are read and counted once."""
     name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    counted = written(base(docs).withColumns({"_lang": name("lang"), "_source": name("source")}), "judged")
+    counted = written(base(docs).withColumns({"_lang": name("lang"), "_source": name("source")}).drop("text"), "judged")
     joined = join_small(counted, thresholds(counted), ["_lang", "_source"])
     inside = F.lit(True)
     for s in SHARES:
