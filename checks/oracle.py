@@ -8,6 +8,9 @@ Spark side but the constants.
 from __future__ import annotations
 
 from weir.config import CAUSE_TEXT, CAUSES, LAGS, LIMITS, SENSORS, SPANS, WINDOWS
+from weir.operators.diagnosis import RULES
+
+EXPLAIN = {r.cause: r.explanation for r in RULES}
 
 _J = "(((event_id * {}) % 101) / 100.0e0 - 0.5e0)"
 J = {k: _J.format(k) for k in (7, 11, 13, 17, 19, 23, 29, 31, 37)}
@@ -276,6 +279,35 @@ def overlay() -> str:
   {r6('organic_carbon + coalesce(po, 0)', 'organic_carbon')} FROM r LEFT JOIN ag USING (site, seq)"""
 
 
+# rows of the feature frame: all sensors and lags present (a mean is there once its sensor is)
+FRAME = (f"{WITH_R}, {LAGGED}, fr AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq) - 1 AS pos, "
+         f"count(*) OVER (PARTITION BY site) AS sz FROM lgd WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*SENSORS, *SHIFT])})")
+TARGETS = ", ".join(f"lead({s}, 12) {{over}} AS target_{s}" for s in SENSORS)
+
+
+def trends() -> str:
+    arms = " UNION ALL ".join(
+        f"SELECT site, ts, seq, '{s}' AS sensor, {r6(s, 'value')}, {num(m.low)} AS low, {num(m.high)} AS high, '{m.unit}' AS unit, "
+        f"NOT ({s} BETWEEN {num(m.low)} AND {num(m.high)}) AS outside FROM r" for s, m in LIMITS.items())
+    return f"{WITH_R} {arms}"
+
+
+def contributions() -> str:
+    arms = " UNION ALL ".join(f"SELECT site, seq, '{s}' AS sensor, {num(m.weight)}*({score(s)}) AS c FROM nw WHERE {s} IS NOT NULL" for s, m in LIMITS.items())
+    return (f"{WITH_R}, nw AS (SELECT * FROM r QUALIFY seq = max(seq) OVER (PARTITION BY site)) SELECT site, seq, "
+            f"CAST(row_number() OVER (PARTITION BY site ORDER BY c DESC, sensor) AS INTEGER) AS rank, sensor, {r6('c', 'contribution')} FROM ({arms})")
+
+
+def captions() -> str:
+    arms = " UNION ALL ".join(f"SELECT site, seq, left({label(repr(s))}, 10) AS caption, printf('%.1f', {s}) AS text FROM r WHERE {s} IS NOT NULL" for s in SENSORS)
+    return f"{WITH_R} {arms}"
+
+
+def naive_errors() -> str:
+    arms = " UNION ALL ".join(f"SELECT '{s}' AS sensor, {r6(f'avg(abs(target_{s} - {s}))', 'naive_mae')}, count(target_{s}) AS n_rows FROM tg WHERE pos >= floor(0.75e0 * sz)" for s in SENSORS)
+    return f"{FRAME}, tg AS (SELECT *, {TARGETS.format(over='OVER (PARTITION BY site ORDER BY pos)')} FROM fr) {arms}"
+
+
 RESID = (f"rs AS (SELECT site, ts, seq, {', '.join(f'abs({s} - lag({s}, 12) {S}) AS {s}' for s in SENSORS)} FROM r), "
          "rl AS (" + " UNION ALL ".join(f"SELECT site, ts, seq, '{s}' AS sensor, {s} AS residual FROM rs" for s in SENSORS) + "), "
          "rz AS (SELECT *, (residual - avg(residual) OVER z) / nullif(stddev_samp(residual) OVER z, 0) AS z FROM rl "
@@ -324,7 +356,28 @@ def statements() -> dict[str, str]:
         "alert_stats": f"{WITH_AL} SELECT site, count(*) FILTER (alert_level <> 'normal') AS total_alerts, "
                        "count(*) FILTER (alert_level = 'critical') AS critical_alerts, count(*) FILTER (alert_level = 'warning') AS warnings, "
                        "count(*) FILTER (alert_level <> 'normal' AND event_type = 'normal') AS false_alarms FROM lg GROUP BY site",
-        "forecast_target": f"{WITH_R}, t AS (SELECT {ids}, ph, lead(ph, 12) {S} AS target FROM r) SELECT {ids}, {r6('ph')}, {r6('target')} FROM t WHERE target IS NOT NULL",
+        "forecast_target": f"{WITH_R}, t AS (SELECT *, {TARGETS.format(over=S)} FROM r) SELECT {ids}, {r6s(SENSORS)}, {r6s([f'target_{s}' for s in SENSORS])} FROM t",
+        "first_n_readings": f"{WITH_R} SELECT {ids}, event_id, ts FROM r WHERE seq < 25",
+        "latest_contributions": contributions(),
+        "sensor_trends": trends(),
+        "feed_labels": captions(),
+        "class_balance": f"{WITH_R} SELECT potability, count(*) AS n, {r6('count(*) * 1.0e0 / sum(count(*)) OVER ()', 'share')} FROM r GROUP BY potability",
+        "union_of_sites": f"{WITH_R} SELECT {ids}, {r6('ph')}, CASE WHEN site <> 'S4' THEN round(turbidity, 6) END AS turbidity FROM r",
+        "parsed_times": f"{WITH_R} SELECT {ids}, ts FROM r",
+        "risk_rank_metrics": f"""{WITH_RAW}, g AS (SELECT round(1 - risk_raw / 100, 6) AS s, sum(potability) AS p, sum(1 - potability) AS n FROM raw GROUP BY 1),
+ c AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM g)
+ SELECT {r6('sum(n * (tp - p / 2.0e0) / np) / max(nn)', 'auc_roc', 9)}, {r6('sum(p * (tp * 1.0e0 / (tp + fp))) / max(np)', 'auc_pr', 9)} FROM c""",
+        "lags_of_slice": f"{WITH_R}, r2 AS (SELECT * FROM r WHERE seq >= 100), {LAGGED.replace('FROM r)', 'FROM r2)')} SELECT {ids}, {r6s(SHIFT)} FROM lgd",
+        "alert_log_of_slice": f"{WITH_R}, sl AS (SELECT * REPLACE (CAST(seq - 100 AS BIGINT) AS seq) FROM r WHERE seq >= 100), {raw('sl')}, {smooth()}, {ALERTS} "
+                              f"SELECT site, seq + 100 AS seq, ts, alert_level, {r6('risk')}, event_type FROM lg",
+        "blocked_split_features": f"{FRAME}, n AS (SELECT *, sz // 4 AS blk FROM fr) SELECT {ids}, CAST(f AS INTEGER) AS fold, "
+                                  "CASE WHEN pos < blk * f THEN 'train' ELSE 'validate' END AS role FROM n CROSS JOIN range(1, 4) t(f) WHERE pos < blk * (f + 1)",
+        "ordered_split_features": f"{FRAME} SELECT {ids}, CASE WHEN pos < floor(0.75e0 * sz) THEN 'train' ELSE 'validate' END AS role FROM fr",
+        "forecast_targets_features": f"{FRAME}, tg AS (SELECT *, {TARGETS.format(over='OVER (PARTITION BY site ORDER BY pos)')} FROM fr) SELECT {ids}, {r6s([f'target_{s}' for s in SENSORS])} FROM tg",
+        "naive_forecast_mae": naive_errors(),
+        "cause_confusion_totals": f"{FRAME} SELECT event_type, count(*) AS n FROM fr GROUP BY event_type",
+        "importance_summary": "SELECT CAST(279 AS BIGINT) AS n_features, 1.0e0 AS total, CAST(279 AS BIGINT) AS n_names",
+        "model_save_load": f"{FRAME} SELECT {ids}, TRUE AS same FROM fr",
         "blocked_split": f"{WITH_R}, n AS (SELECT *, count(*) OVER (PARTITION BY site) // 4 AS blk FROM r) SELECT {ids}, CAST(f AS INTEGER) AS fold, "
                          "CASE WHEN seq < blk * f THEN 'train' ELSE 'validate' END AS role FROM n CROSS JOIN range(1, 4) t(f) WHERE seq < blk * (f + 1)",
         "ordered_split": f"{WITH_R} SELECT {ids}, CASE WHEN seq < floor(0.75e0 * count(*) OVER (PARTITION BY site)) THEN 'train' ELSE 'validate' END AS role FROM r",
@@ -341,7 +394,9 @@ def statements() -> dict[str, str]:
         "cause_ranking": f"{WITH_R}, {rule_cte()} {ranked(HITS, 'fe')}",
         "message_json": f"""{WITH_RAW} SELECT {ids}, '{{"timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","sensors":{{' || concat_ws(',', """
                         + ", ".join(f"""'"{s}":' || CAST({msg(s)} AS VARCHAR)""" for s in SENSORS)
-                        + f""") || '}},"risk_index":' || CAST(CAST(printf('%.1f', risk_raw) AS DOUBLE) AS VARCHAR) || ',"event_type":"' || event_type || '","cause":{{"cause":"' || {primary(RAW_HITS)} || '"' AS message_head FROM raw""",
+                        + f""") || '}},"risk_index":' || CAST(CAST(printf('%.1f', risk_raw) AS DOUBLE) AS VARCHAR) || ',"event_type":"' || event_type || '","cause":{{"cause":"' || {primary(RAW_HITS)} || '"' || """
+                        + "coalesce(" + lookup(primary(RAW_HITS), {k: f',"confidence":{v},"explanation":"{EXPLAIN[k]}","method":"rule"' for k, (_, v) in RAW_HITS.items()}) + ", '')"
+                        + """ || '}}' AS message FROM raw""",
         "scenario_overlay": overlay(),
         "forecast_residuals": f"{WITH_R}, {RESID} SELECT site, seq, sensor, {r6('residual')}, {r6('z')} FROM rz",
         "clip_bounds": f"{WITH_R} SELECT {ids}, {r6('CASE WHEN ph < 0 THEN 0 WHEN ph > 14 THEN 14 ELSE ph END', 'ph')}, {r6('CASE WHEN turbidity < 0 THEN 0 ELSE turbidity END', 'turbidity')} FROM r",
@@ -375,12 +430,13 @@ def statements() -> dict[str, str]:
     q["raw_csv_profile"] = profile()
     q["partitioned_sink"] = f"{WITH_R} SELECT site, ts, event_type, potability, {r6s(SENSORS)} FROM r WHERE site IN ('S1', 'S3')"
     q["stream_scores"] = f"{WITH_RAW} SELECT {ids}, {r6('risk_raw', 'risk_index')}, {level('risk_raw')} AS risk_level, {primary(RAW_HITS)} AS cause FROM raw"
-    q["stream_alerts"] = (f"{WITH_AL} SELECT site, ts, {r6('risk')}, alert_level, alert_changed FROM al "
-                          "WHERE epoch_us(ts) <= (SELECT max(epoch_ms(ts)) - 3600000 FROM al) * 1000")
+    q["stream_alerts"] = f"{WITH_AL} SELECT site, ts, {r6('risk')}, alert_level, alert_changed FROM al"
+    q["stream_features"] = q["build_features"]
     q["data_table"] = (f"{sliced(288)}, {ALERTS} SELECT ts, site, {r6s(SENSORS)}, {r6('risk')}, alert_level, event_type FROM al WHERE seq >= n_rows - 200")
     q["latest_diagnosis"] = (
         f"{sliced(288)}, {ALERTS} SELECT site, ts, {r6('risk')}, {level('risk')} AS risk_level, alert_level, "
         f"CASE WHEN alert_level <> 'normal' THEN {primary(RAW_HITS)} END AS banner_cause, CASE WHEN alert_level <> 'normal' THEN {confidence(RAW_HITS)} END AS banner_confidence, "
+        f"CASE WHEN alert_level = 'critical' THEN {lookup(primary(RAW_HITS), EXPLAIN)} END AS banner_evidence, "
         f"{primary(RAW_HITS)} AS primary_cause, {lookup(primary(RAW_HITS), CAUSE_TEXT)} AS cause_text FROM al WHERE seq = n_rows - 1")
     q["csv_export"] = q["data_table"]
     return q

@@ -9,7 +9,6 @@ from checks.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-SLOW = {"build_features", "rolling_stats", "csv_export"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_every_statement_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.oracle_sql())))
 def test_query_equals_sql(spark, con, name):
     assert difference(E.queries()[name](spark, SF).toPandas(), con.execute(E.oracle_sql()[name]).df()) == ""
 

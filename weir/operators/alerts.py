@@ -87,30 +87,29 @@ def _level(state) -> Column:
 
 
 def fold_alerts(cut: DataFrame, params: AlertParams, key: str = "site", order: tuple = (SUB, "seq"),
-                one_chunk: bool = False, layout: Layout = LAYOUT) -> DataFrame:
+                layout: Layout = LAYOUT) -> DataFrame:
     """Alert columns for rows that are cut into chunks (halo included) and carry ``risk``.
-    ``one_chunk``: no series is longer than a chunk, so nothing needs to be carried."""
+
+    Rows are folded within their chunk; only one row per chunk is written to find the state
+    each chunk starts in, and the rows take it up in the distribution they have."""
     w = W.partitionBy(key, CHUNK).orderBy(*order)
     drop = [c for c in (SUB,) if c in cut.columns]
     named = {**_row_images("risk", params, w)}
+    if "known_level" in cut.columns:  # rows whose level is settled: they lead to it from any state
+        named = {k: F.coalesce(F.col("known_level"), c) for k, c in named.items()}
     if "ts" in cut.columns:
         named["prev_ts"] = F.lag("ts").over(w)
     if "event_type" in cut.columns:
         named["_pe"] = F.lag("event_type").over(w)
+        named["_first"] = F.lag("seq").over(w).isNull()
     own = own_rows(cut.select("*", *[c.alias(k) for k, c in named.items()]), layout)
     run = _running_images(own, [key, CHUNK], list(order), "seq")
     more = [F.lag(x).over(w).alias("_p" + x) for x in _IMG]
     if "_pe" in run.columns:
-        starts = F.when((F.col("seq") == 0) | ~F.col("event_type").eqNullSafe(F.col("_pe")), F.col("seq"))
+        starts = F.when(F.col("_first") | ~F.col("event_type").eqNullSafe(F.col("_pe")), F.col("seq"))
         more.append(F.max(starts).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_ev"))
-    run = run.select("*", *more).drop("_pe", *drop)
-    if one_chunk:
-        was = F.coalesce(F.col("_p_n"), F.lit(0))
-        out = run.withColumns({"alert_level": _level(F.col("_n")), "previous_level": _level(was),
-                               "alert_changed": F.col("_n") != was})
-        return out.withColumnRenamed("_ev", "event_start").drop(CHUNK, *_IMG, *("_p" + x for x in _IMG))
-    rows = written(run.withColumns({c: F.col(c).cast("tinyint") for c in (*_IMG, *("_p" + x for x in _IMG))}),
-                   "alert-maps")
+    run = run.select("*", *more).drop("_pe", "_first", *drop)
+    rows = run.withColumns({c: F.col(c).cast("tinyint") for c in (*_IMG, *("_p" + x for x in _IMG))})
     tail = [F.max_by(x, "seq").alias(x) for x in _IMG]
     has_events = "_ev" in rows.columns
     if has_events:
@@ -130,15 +129,16 @@ def fold_alerts(cut: DataFrame, params: AlertParams, key: str = "site", order: t
 
 
 def alert_states(df: DataFrame, params: AlertParams = AlertParams(), span: int = RISK_SPAN,
-                 keep: list[str] | None = None, one_chunk: bool = False, layout: Layout = LAYOUT) -> DataFrame:
+                 keep: list[str] | None = None, layout: Layout = LAYOUT) -> DataFrame:
     """Add ``risk_raw, risk, alert_level, previous_level, alert_changed`` to numbered readings,
     and ``prev_ts`` / ``event_start`` (seq at which the row's run of one event_type began).
-    ``keep`` names the input columns to carry along (all by default); ``one_chunk`` states that
-    no series is longer than a chunk."""
+    ``keep`` names the input columns to carry along (all by default). The first reading of a series
+    is the first one the frame holds, at whatever position. The plan folds the readings twice
+    (once for the written chunk maps); write the result if several steps use it."""
     cut = chunked_risk(df, span, extra=params.persistence, layout=layout)
     if keep is not None:
         cut = cut.select("site", "seq", CHUNK, SUB, *[c for c in keep if c not in ("site", "seq")], "risk_raw", "risk")
-    return fold_alerts(cut, params, one_chunk=one_chunk, layout=layout)
+    return fold_alerts(cut, params, layout=layout)
 
 
 def alert_states_of(risk: DataFrame, params: AlertParams = AlertParams(), layout: Layout = LAYOUT) -> DataFrame:

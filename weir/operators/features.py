@@ -14,8 +14,9 @@ from ..config import DIFFS, LAGS, LAYOUT, META, SENSORS, SPANS, STUCK_EPS, STUCK
 from ..functions.calendar import time_encodings
 from .chunks import CHUNK, own_rows, with_chunks
 from .ewma import HELPERS, ORDER, block_sums, halo_rows, mean_expr, previous_block
-from .index import chunk_entries, sensors_with_gaps, series_index
+from .index import chunk_entries, series_facts, series_index, series_starts
 from .rolling import base_exprs, join_exprs, pack_base, pack_joined, rolling_exprs, std_expr
+from .sites import with_site_values
 
 # ---- fixed values: name, numerator, denominator, offset ----
 RATIOS = (
@@ -52,7 +53,8 @@ class Wanted:
 
 def window_features(df: DataFrame, want: Wanted, backfill: bool = True, eps: float = STUCK_EPS,
                     key: str = "site", layout: Layout = LAYOUT) -> DataFrame:
-    """Add the families in ``want``; ``df`` is numbered readings. Input columns are kept."""
+    """Add the families in ``want``; ``df`` is numbered readings. Input columns are kept.
+    A slice may start at any position; positions must follow each other without gaps."""
     sensors, keep = want.sensors, list(df.columns)
     if not sensors:
         return df
@@ -60,7 +62,12 @@ def window_features(df: DataFrame, want: Wanted, backfill: bool = True, eps: flo
     back = tuple(sorted(set(want.lags) | set(want.diffs)))
     pairs = [(c, s) for c in sensors for s in want.spans]
     fill = bool(want.lags) and backfill
-    gaps = sensors_with_gaps(df, sensors) if fill or pairs else []
+    gaps, moved = series_facts(df, sensors, key)
+    if moved:  # the windows count from 0
+        from_zero = with_site_values(df, series_starts(df, key), key).withColumn("seq", F.col("seq") - F.col("_first"))
+        out = window_features(from_zero, want, backfill, eps, key, layout)
+        return out.withColumn("seq", F.col("seq") + F.col("_first")).drop("_first")
+    gaps = gaps if fill or pairs else []
     halo = max(0, *(w - 1 for w in windows or (1,)), *(back or (0,)))
     if pairs:
         halo = max(halo_rows(want.spans, layout=layout), -(-halo // layout.ewma_block) * layout.ewma_block)
@@ -159,8 +166,12 @@ def all_features(df: DataFrame, sensors=None, layout: Layout = LAYOUT) -> DataFr
     return out.select("*", *[c.alias(n) for n, c in clock.items()], *[F.expr(e) for e in ratio_exprs(df.columns)])
 
 
+#: Columns that splits and targets add; never features.
+ADDED = ("role", "fold", "pos", "target")
+
+
 def feature_columns(df: DataFrame) -> list[str]:
-    return sorted(set(df.columns) - set(META))
+    return sorted(c for c in set(df.columns) - set(META) - set(ADDED) if not c.startswith("target_"))
 
 
 def build_features(df: DataFrame, sensors=None, layout: Layout = LAYOUT) -> DataFrame:

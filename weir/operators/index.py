@@ -18,12 +18,20 @@ from .chunks import CHUNK, carry, div
 from .ewma import decay, reach
 
 
-def sensors_with_gaps(df: DataFrame, sensors) -> list[str]:
-    """Sensors that have any null. One aggregated row; the others need no index at all."""
-    if not sensors:
-        return []
-    row = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in sensors]).first()
-    return [c for c in sensors if row[c]]
+def series_facts(df: DataFrame, sensors, key: str = "site") -> tuple[list[str], bool]:
+    """Sensors that have any null (the others need no index at all), and whether a series starts at
+    another position than 0. One pass and one row; series with gaps in their positions are refused."""
+    per = df.groupBy(key).agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"), F.count("*").alias("_n"),
+                              *[F.max(F.col(c).isNull()).alias(c) for c in sensors])
+    row = per.agg(F.max(F.col("_hi") - F.col("_lo") + 1 - F.col("_n")).alias("_off"), F.max(F.abs("_lo")).alias("_start"),
+                  *[F.max(c).alias(c) for c in sensors]).first()
+    if row["_off"]:
+        raise ValueError("the positions of a series must follow each other; number the frame again")
+    return [c for c in sensors if row[c]], bool(row["_start"])
+
+
+def series_starts(df: DataFrame, key: str = "site") -> DataFrame:
+    return df.groupBy(key).agg(F.min("seq").alias("_first"))
 
 
 def series_index(df: DataFrame, sensors, spans=SPANS, key: str = "site", layout: Layout = LAYOUT) -> DataFrame:

@@ -8,6 +8,7 @@ from ..config import HORIZON, LAYOUT, LIMITS, PHYSICAL_BOUNDS, Layout
 from ..functions.calendar import diurnal_factor
 from ..functions.scoring import physical_clip
 from .features import add_ewma, present
+from .sites import with_site_values
 from .splits import lagged
 
 
@@ -109,7 +110,7 @@ def forecast_residuals(df: DataFrame, sensors=None, horizon: int = HORIZON, layo
     wide = wide.select("site", "ts", "seq", *[F.abs(F.col(c) - F.col(f"_{c}")).alias(c) for c in have])
     stats = wide.groupBy("site").agg(*[F.avg(c).alias(f"m_{c}") for c in have],
                                      *[F.stddev_samp(c).alias(f"s_{c}") for c in have])
-    joined = wide.join(stats, "site")
+    joined = with_site_values(wide, stats)
     rows = F.array(*[F.struct(F.lit(c).alias("sensor"), F.col(c).alias("residual"),
                               F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")).alias("z")) for c in have])
     return joined.select("site", "ts", "seq", F.inline(rows)).filter("residual IS NOT NULL")

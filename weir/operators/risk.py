@@ -8,6 +8,7 @@ from ..config import LAYOUT, RISK_SPAN, Layout
 from ..functions.scoring import clip_risk, risk_raw
 from .chunks import own_rows, with_chunks
 from .ewma import SUB, block_sums, halo_rows, mean_expr, previous_block
+from .sites import with_site_values
 
 
 def chunked_risk(df: DataFrame, span: int = RISK_SPAN, extra: int = 0, layout: Layout = LAYOUT) -> DataFrame:
@@ -35,7 +36,7 @@ def last_n(df: DataFrame, n: int, key: str = "site") -> DataFrame:
     sizes = df.groupBy(key).agg((F.max("seq") + 1).alias("n_rows"))
     start = F.greatest(F.col("n_rows") - n, F.lit(0))
     return (
-        df.join(sizes, key)
+        with_site_values(df, sizes, key)
         .filter(F.col("seq") >= start)
         .withColumn("seq", F.col("seq") - start)
         .drop("n_rows")

@@ -1,24 +1,37 @@
-"""Time-ordered splits and targets. All are arithmetic on ``seq`` and the series size."""
+"""Time-ordered splits and targets.
+
+All are arithmetic on positions and series sizes. Positions must run from 0 without gaps;
+a frame that lost rows (features with nulls dropped) is numbered again with
+:func:`frame_positions`, and split by ``pos``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import HORIZON, LAYOUT, Layout
-from ..sources.numbering import series_sizes
+from ..sources.numbering import number_series, series_sizes
 from .chunks import CHUNK, in_chunk, own_rows, with_chunks
+from .sites import with_site_values
+
+
+def frame_positions(df: DataFrame, key: str = "site") -> DataFrame:
+    """Add ``pos``: the row's position among the rows its series has in this frame. Written once."""
+    numbered = number_series(df.withColumnRenamed("seq", "_at"), key, ("_at",))
+    return numbered.withColumnRenamed("seq", "pos").withColumnRenamed("_at", "seq").select(*df.columns, "pos")
 
 
-def blocked_split(df: DataFrame, n_splits: int = 4, key: str = "site") -> DataFrame:
+def blocked_split(df: DataFrame, n_splits: int = 4, key: str = "site", position: str = "seq") -> DataFrame:
     """One row per (reading, fold it takes part in) with ``fold`` 1..n_splits-1 and ``role``.
 
     Fold f trains on the series' first f blocks and validates on the next one; rows
     beyond ``n_splits`` whole blocks are unused.
     """
     block = ((F.col("n_rows") - F.col("n_rows") % n_splits) / n_splits).cast("bigint")
-    rows = df.join(series_sizes(df, key), key).withColumn("_b", block)
-    rows = rows.filter((F.col("_b") > 0) & (F.col("seq") < F.col("_b") * n_splits))
-    part = ((F.col("seq") - F.col("seq") % F.col("_b")) / F.col("_b")).cast("int")
+    rows = with_site_values(df, series_sizes(df, key, position), key, position=position).withColumn("_b", block)
+    at = F.col(position)
+    rows = rows.filter((F.col("_b") > 0) & (at < F.col("_b") * n_splits))
+    part = ((at - at % F.col("_b")) / F.col("_b")).cast("int")
     first = F.greatest(part, F.lit(1))
     folds = F.explode(F.sequence(first, F.lit(n_splits - 1)))
     return (rows.withColumn("_part", part).filter(F.lit(n_splits) > 1).withColumn("fold", folds)
@@ -26,13 +39,14 @@ def blocked_split(df: DataFrame, n_splits: int = 4, key: str = "site") -> DataFr
             .drop("_b", "_part", "n_rows"))
 
 
-def ordered_split(df: DataFrame, fraction: float = 0.75, per_site: bool = True, key: str = "site") -> DataFrame:
+def ordered_split(df: DataFrame, fraction: float = 0.75, per_site: bool = True, key: str = "site",
+                  position: str = "seq") -> DataFrame:
     """Add ``role``: the first ``fraction`` of each series trains, the rest validates.
     ``per_site=False`` cuts the (site, time)-ordered whole instead, which holds out the last sites."""
-    sizes = series_sizes(df, key)
+    sizes = series_sizes(df, key, position)
     if per_site:
         cut = F.floor(F.col("n_rows") * fraction)
-        at = F.col("seq")
+        at = F.col(position)
     else:
         from pyspark.sql import Window as W
 
@@ -40,17 +54,22 @@ def ordered_split(df: DataFrame, fraction: float = 0.75, per_site: bool = True,
         before = W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
         total = sizes.agg(F.sum("n_rows").alias("_total"))
-        sizes = sizes.join(F.broadcast(total))  # one row
-        cut, at = F.floor(F.col("_total") * fraction), F.col("_before") + F.col("seq")
-    out = df.join(sizes, key).withColumn("role", F.when(at < cut, "train").otherwise("validate"))
+        sizes = sizes.crossJoin(F.broadcast(total))  # one row
+        cut, at = F.floor(F.col("_total") * fraction), F.col("_before") + F.col(position)
+    out = with_site_values(df, sizes, key, position=position).withColumn("role", F.when(at < cut, "train").otherwise("validate"))
     return out.select(*df.columns, "role")
 
 
-def forecast_target(df: DataFrame, sensor: str, horizon: int = HORIZON, layout: Layout = LAYOUT,
-                    key: str = "site") -> DataFrame:
-    """Add ``target``: the sensor's value ``horizon`` readings later; rows without one are dropped."""
-    later = df.select(key, (F.col("seq") - horizon).alias("seq"), F.col(sensor).alias("target"))
-    return df.join(later.filter("target IS NOT NULL AND seq >= 0"), [key, "seq"])
+def forecast_targets(df: DataFrame, sensors, horizon: int = HORIZON, key: str = "site", position: str = "seq") -> DataFrame:
+    """Add ``target_<sensor>``: the sensor's value ``horizon`` rows of the frame later (null beyond its
+    end), all sensors by one join on positions."""
+    later = df.select(key, (F.col(position) - horizon).alias(position), *[F.col(s).alias(f"target_{s}") for s in sensors])
+    return df.join(later.filter(F.col(position) >= 0), [key, position], "left")
+
+
+def forecast_target(df: DataFrame, sensor: str, horizon: int = HORIZON, key: str = "site", position: str = "seq") -> DataFrame:
+    """Add ``target``: the sensor's value ``horizon`` rows later; rows without one are dropped."""
+    return forecast_targets(df, [sensor], horizon, key, position).withColumnRenamed(f"target_{sensor}", "target").filter("target IS NOT NULL")
 
 
 def lagged(df: DataFrame, exprs: dict[str, tuple[str, int]], layout: Layout = LAYOUT, key: str = "site") -> DataFrame:

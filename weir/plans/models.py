@@ -18,32 +18,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import CAUSES, HORIZON, LAYOUT, SENSORS, Layout
 from ..functions.scoring import clip_risk, risk_level, risk_raw
 from ..functions.text import cause_index
+from ..operators.diagnosis import diagnose
 from ..operators.features import build_features, feature_columns
-from ..operators.splits import blocked_split, forecast_target, ordered_split
+from ..operators.sites import with_site_values
+from ..operators.splits import blocked_split, forecast_target, forecast_targets, frame_positions, ordered_split
 from ..storage import written
 from . import views as V
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Boosting and forest settings; the boosting defaults mirror a 63-leaf, 0.05-rate model."""
+    """Boosting and forest settings. Boosting ends by itself when the held-out rows gain less than
+    ``tolerance`` from another tree; ``max_iter`` is only the bound."""
 
     max_iter: int = 100
-    max_depth: int = 6
-    step: float = 0.05
+    max_depth: int = 5
+    step: float = 0.1
     row_share: float = 0.8
-    feature_share: str = "0.8"
-    n_trees: int = 60
+    feature_share: str = "sqrt"
+    tolerance: float = 0.01
+    n_trees: int = 40
     seed: int = 42
 
 
 @dataclass
 class Fitted:
-    """A pipeline with what is needed to use it: feature columns and class names in label order."""
+    """A pipeline with what is needed to use it: feature columns, class names in label order, and the
+    features' means over the training rows (the baseline of attributions)."""
 
     pipeline: PipelineModel
     features: list[str]
     classes: tuple[str, ...] = ()
+    means: dict[str, float] = field(default_factory=dict)
     metrics: DataFrame | None = field(default=None, repr=False)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -60,46 +66,56 @@ def _assemble(df: DataFrame, cols: list[str], *keep) -> tuple[VectorAssembler, D
     return step, step.transform(df).select("features", *keep)
 
 
-def _fit(step, estimator, data, cols, classes=()) -> Fitted:
-    return Fitted(PipelineModel([step, estimator.fit(data)]), cols, tuple(classes))
+def _fit(step, estimator, data, cols, classes=(), means=None) -> Fitted:
+    return Fitted(PipelineModel([step, estimator.fit(data)]), cols, tuple(classes), means or {})
 
 
-def train_potability(df: DataFrame, cols: list[str] | None = None, horizon: int = 0, p: TreeParams = TreeParams(),
-                     role: str = "role") -> Fitted:
-    """Binary classifier for the label on the same row, or ``horizon`` readings later."""
+def _means(df: DataFrame, cols: list[str]) -> dict[str, float]:
+    row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one row
+    return {c: float(row[c]) for c in cols if row[c] is not None}
+
+
+def split_frame(features: DataFrame, sensors=SENSORS, horizon: int = HORIZON) -> DataFrame:
+    """A feature frame ready for training: positions among the rows that are left, the ordered split,
+    and the nine targets ``horizon`` rows later. Written once."""
+    numbered = ordered_split(frame_positions(features), position="pos")
+    return written(forecast_targets(numbered, [s for s in sensors if s in features.columns], horizon, position="pos"), "split-frame")
+
+
+def _boosting(kind, p: TreeParams, **more):
+    return kind(maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step, subsamplingRate=p.row_share, seed=p.seed,
+                featureSubsetStrategy=p.feature_share, validationIndicatorCol="held_out", validationTol=p.tolerance, **more)
+
+
+def train_potability(df: DataFrame, cols: list[str] | None = None, horizon: int = 0, p: TreeParams = TreeParams()) -> Fitted:
+    """Binary classifier for the label on the same row, or ``horizon`` rows later. ``df`` has ``pos`` and
+    ``role`` (:func:`split_frame`)."""
     cols = cols or feature_columns(df)
     if horizon:
-        df = forecast_target(df, "potability", horizon).withColumn("potability", F.col("target")).drop("target")
-    df = df if role in df.columns else ordered_split(df)
+        df = forecast_target(df, "potability", horizon, position="pos").withColumn("potability", F.col("target")).drop("target")
     step, data = _assemble(df, cols, F.col("potability").cast("double").alias("label"),
-                           (F.col(role) == "validate").alias("held_out"))
-    gbt = GBTClassifier(maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step, subsamplingRate=p.row_share,
-                        featureSubsetStrategy=p.feature_share, seed=p.seed, validationIndicatorCol="held_out")
-    return _fit(step, gbt, data, cols, ("0", "1"))
+                           (F.col("role") == "validate").alias("held_out"))
+    return _fit(step, _boosting(GBTClassifier, p), data, cols, ("0", "1"))
 
 
-def train_cause(df: DataFrame, cols: list[str] | None = None, classes=CAUSES, p: TreeParams = TreeParams(),
-                role: str = "role") -> Fitted:
+def train_cause(df: DataFrame, cols: list[str] | None = None, classes=CAUSES, p: TreeParams = TreeParams()) -> Fitted:
     """Seven-class classifier; labels in fixed class order, also for classes without rows."""
-    cols = [c for c in (cols or feature_columns(df)) if c != role]
-    df = (df if role in df.columns else ordered_split(df)).filter(F.col(role) == "train")
+    cols = cols or feature_columns(df)
+    df = df.filter("role = 'train'")
     meta = {"ml_attr": {"type": "nominal", "name": "label", "vals": list(classes)}}
     step, data = _assemble(df, cols, cause_index("event_type").cast("double").alias("label", metadata=meta))
     forest = RandomForestClassifier(numTrees=p.n_trees, maxDepth=p.max_depth, subsamplingRate=p.row_share, seed=p.seed)
-    return _fit(step, forest, data, cols, classes)
+    return _fit(step, forest, data, cols, classes, _means(df, cols))
 
 
-def train_forecasts(df: DataFrame, cols: list[str] | None = None, horizon: int = HORIZON, sensors=SENSORS,
-                    p: TreeParams = TreeParams()) -> dict[str, Fitted]:
-    """One regressor per sensor for its value ``horizon`` readings later."""
+def train_forecasts(df: DataFrame, cols: list[str] | None = None, sensors=SENSORS, p: TreeParams = TreeParams()) -> dict[str, Fitted]:
+    """One regressor per sensor for ``target_<sensor>``."""
     cols = cols or feature_columns(df)
     out = {}
-    for s in [s for s in sensors if s in df.columns]:
-        rows = ordered_split(forecast_target(df, s, horizon)).filter("role = 'train'")
-        step, data = _assemble(rows, cols, F.col("target").alias("label"))
-        gbt = GBTRegressor(lossType="absolute", maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step,
-                           subsamplingRate=p.row_share, featureSubsetStrategy=p.feature_share, seed=p.seed)
-        out[s] = _fit(step, gbt, data, cols)
+    for s in [s for s in sensors if f"target_{s}" in df.columns]:
+        rows = df.filter(F.col(f"target_{s}").isNotNull())
+        step, data = _assemble(rows, cols, F.col(f"target_{s}").alias("label"), (F.col("role") == "validate").alias("held_out"))
+        out[s] = _fit(step, _boosting(GBTRegressor, p, lossType="absolute"), data, cols)
     return out
 
 
@@ -122,26 +138,42 @@ def with_predicted_cause(model: Fitted, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("predicted_cause", F.get(names, F.col("prediction").cast("int")))
 
 
-def forecast_mae(models: dict[str, Fitted], df: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def forecast_mae(models: dict[str, Fitted], df: DataFrame) -> DataFrame:
     """Mean absolute error per sensor on held-out rows, beside that of "no change"."""
     out = None
     for s, m in models.items():
-        rows = ordered_split(forecast_target(df, s, horizon)).filter("role = 'validate'")
-        one = m.transform(rows).agg(F.avg(F.abs(F.col("target") - F.col("prediction"))).alias("mae"),
-                                    F.avg(F.abs(F.col("target") - F.col(s))).alias("naive_mae"), F.count("*").alias("n_rows"))
+        one = m.transform(df.filter(F.col("role") == "validate").filter(F.col(f"target_{s}").isNotNull())).agg(
+            F.avg(F.abs(F.col(f"target_{s}") - F.col("prediction"))).alias("mae"),
+            F.avg(F.abs(F.col(f"target_{s}") - F.col(s))).alias("naive_mae"), F.count("*").alias("n_rows"))
         one = one.select(F.lit(s).alias("sensor"), "mae", "naive_mae", "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def forecast_residual_scores(model: Fitted, df: DataFrame, sensor: str, horizon: int = HORIZON) -> DataFrame:
-    """Actual against forecast made ``horizon`` readings before, with a z-score per site."""
-    said = model.transform(df).select("site", (F.col("seq") + horizon).alias("seq"), F.col("prediction").alias("forecast"))
-    res = df.select("site", "seq", F.col(sensor).alias("actual")).join(said, ["site", "seq"]).withColumn(
-        "residual", F.abs(F.col("actual") - F.col("forecast")))
-    stats = res.groupBy("site").agg(F.avg("residual").alias("_m"), F.stddev_samp("residual").alias("_s"))
-    return (res.join(stats, "site").withColumn("z", F.try_divide(F.col("residual") - F.col("_m"), F.col("_s")))
-            .drop("_m", "_s").withColumn("sensor", F.lit(sensor)))
+def naive_mae(df: DataFrame, sensors=SENSORS) -> DataFrame:
+    """Mean absolute error of "no change" on held-out rows, per sensor."""
+    have = [s for s in sensors if f"target_{s}" in df.columns]
+    off = {s: F.abs(F.col(f"target_{s}") - F.col(s)) for s in have}
+    one = df.filter("role = 'validate'").agg(*[F.struct(F.avg(e).alias("naive_mae"), F.count(e).alias("n_rows")).alias(s) for s, e in off.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).naive_mae.alias("naive_mae"),
+                                                  F.col(s).n_rows.alias("n_rows")) for s in have])))
+
+
+def forecast_residual_scores(models: dict[str, Fitted], df: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Actual against forecast made ``horizon`` rows before, with a z-score per site, for every sensor.
+    The forecasts ride in one row per reading; the long form is made last."""
+    said = df
+    for s, m in models.items():
+        said = m.transform(said).withColumnRenamed("prediction", f"_f_{s}")
+    said = said.select("site", (F.col("pos") + horizon).alias("pos"), *[f"_f_{s}" for s in models])
+    off = written(df.select("site", "seq", "pos", *models).join(said, ["site", "pos"]).select(
+        "site", "seq", "pos", *[F.struct(F.col(s).alias("actual"), F.col(f"_f_{s}").alias("forecast"),
+                                         F.abs(F.col(s) - F.col(f"_f_{s}")).alias("residual")).alias(s) for s in models]), "residuals")
+    stats = off.groupBy("site").agg(*[F.struct(F.avg(f"{s}.residual").alias("m"), F.stddev_samp(f"{s}.residual").alias("s")).alias(f"_z_{s}") for s in models])
+    rows = F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(f"{s}.actual").alias("actual"), F.col(f"{s}.forecast").alias("forecast"),
+                              F.col(f"{s}.residual").alias("residual"),
+                              F.try_divide(F.col(f"{s}.residual") - F.col(f"_z_{s}.m"), F.col(f"_z_{s}.s")).alias("z")) for s in models])
+    return with_site_values(off, stats, position="pos").select("site", "seq", F.inline(rows))
 
 
 def future_risk(models: dict[str, Fitted], df: DataFrame) -> DataFrame:
@@ -165,7 +197,7 @@ def importances(model: Fitted, spark: SparkSession) -> DataFrame:
 def cross_validate(df: DataFrame, cols: list[str] | None = None, n_splits: int = 4, p: TreeParams = TreeParams()) -> DataFrame:
     """Macro-F1 of the cause classifier per blocked fold."""
     cols = cols or feature_columns(df)
-    folds = blocked_split(df, n_splits)
+    folds = blocked_split(df.drop("role"), n_splits, position="pos")
     out = None
     for f in range(1, n_splits):
         part = folds.filter(F.col("fold") == f)
@@ -176,43 +208,57 @@ def cross_validate(df: DataFrame, cols: list[str] | None = None, n_splits: int =
     return out
 
 
-def cause_attribution(df: DataFrame, model: Fitted, top_n: int = 5, ids=("site", "seq")) -> DataFrame:
-    """What a row's predicted cause rests on: the fall in its probability when one feature is
-    set to its mean. Not Shapley values.
+def attributions(df: DataFrame, model: Fitted, top_n: int = 5, ids=("site", "seq")) -> DataFrame:
+    """ids, cause and the array ``contributions``: what a row's predicted cause rests on, as the fall in
+    its probability when one feature is set to its mean over the training rows. Not Shapley values.
 
-    Every feature the model uses is tried; one it does not use cannot change anything.
-    """
+    Every feature the model uses is tried; one it does not use cannot change anything. The rows are
+    dealt by their ids before they are multiplied, so the trials of a row never leave its task."""
     used = [f for f, v in zip(model.features, model.model.featureImportances.toArray()) if v > 0]
-    means = df.agg(*[F.avg(f).alias(f) for f in used]).first()  # one row
     base = model.transform(df).withColumns({"_pred": F.col("prediction").cast("int"), "_base": vector_to_array("probability")})
-    base = base.select(*ids, *model.features, "_pred", F.get("_base", F.col("_pred")).alias("_p0"))
+    base = base.select(*ids, *model.features, "_pred", F.get("_base", F.col("_pred")).alias("_p0")).repartition(*ids)
     tried = base.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(used))])))
     spot = {f: i for i, f in enumerate(used)}
     value = F.get(F.array(*[F.col(f).cast("double") for f in used]), F.col("_f"))
     tried = tried.withColumn("_v", value).select(
         *ids, "_pred", "_p0", "_f", "_v",
-        *[(F.when(F.col("_f") == spot[f], F.lit(float(means[f]))).otherwise(F.col(f)) if f in spot else F.col(f)).alias(f)
+        *[(F.when(F.col("_f") == spot[f], F.lit(model.means[f])).otherwise(F.col(f)) if f in spot else F.col(f)).alias(f)
           for f in model.features])
     again = model.transform(tried)
     drop = F.col("_p0") - F.get(vector_to_array("probability"), F.col("_pred"))
     name = F.get(F.array(*[F.lit(f) for f in used]), F.col("_f"))
     slim = again.select(*ids, "_pred", name.alias("feature"), drop.alias("contribution"), F.col("_v").alias("value"))
-    best = slim.groupBy(*ids, "_pred").agg(F.slice(F.array_sort(F.collect_list(
+    best = slim.groupBy(*ids).agg(F.first("_pred").alias("_pred"), F.slice(F.array_sort(F.collect_list(
         F.struct((-F.abs("contribution")).alias("k"), "feature", "contribution", "value"))), 1, top_n).alias("best"))
     classes = F.array(*[F.lit(c) for c in model.classes])
-    return best.select(*ids, F.get(classes, F.col("_pred")).alias("cause"), F.posexplode("best").alias("pos", "b")).select(
-        *ids, "cause", (F.col("pos") + 1).alias("rank"), "b.feature", F.round("b.contribution", 4).alias("contribution"),
-        F.round("b.value", 4).alias("value"),
-        F.when(F.col("b.contribution") > 0, "increases risk").otherwise("decreases risk").alias("direction"))
+    shown = F.transform("best", lambda b: F.struct(
+        b.feature.alias("feature"), F.round(b.contribution, 4).alias("contribution"), F.round(b.value, 4).alias("value"),
+        F.when(b.contribution > 0, "increases risk").otherwise("decreases risk").alias("direction")))
+    return best.select(*ids, F.get(classes, F.col("_pred")).alias("cause"), shown.alias("contributions"))
+
+
+def cause_attribution(df: DataFrame, model: Fitted, top_n: int = 5, ids=("site", "seq")) -> DataFrame:
+    """The same, one row per contribution with its rank."""
+    return attributions(df, model, top_n, ids).select(*ids, "cause", F.posexplode("contributions").alias("pos", "c")).select(
+        *ids, "cause", (F.col("pos") + 1).alias("rank"), "c.*")
+
+
+def diagnose_with_attribution(df: DataFrame, model: Fitted, top_n: int = 5, ids=("site", "seq"), **how) -> DataFrame:
+    """:func:`weir.operators.diagnosis.diagnose` with the field ``feature_contributions`` in the diagnosis."""
+    known = attributions(df, model, top_n, ids).select(*ids, F.col("contributions").alias("_c"))
+    told = diagnose(df, model, **how).join(known, [*ids], "left")
+    return told.withColumn("diagnosis", F.col("diagnosis").withField("feature_contributions", F.col("_c"))).drop("_c")
 
 
 # ---------------------------------------------------------------- persistence and driver
 
+ABOUT = "features array<string>, classes array<string>, means map<string,double>"
+
+
 def save_model(model: Fitted, path: str) -> None:
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     spark = SparkSession.active()
-    spark.createDataFrame([(model.features, list(model.classes))], "features array<string>, classes array<string>").write.mode(
-        "overwrite").json(f"{path}/about")
+    spark.createDataFrame([(model.features, list(model.classes), model.means)], ABOUT).write.mode("overwrite").json(f"{path}/about")
 
 
 def load_model(spark: SparkSession, path: str) -> Fitted | None:
@@ -220,19 +266,19 @@ def load_model(spark: SparkSession, path: str) -> Fitted | None:
     from pyspark.errors import AnalysisException
 
     try:
-        about = spark.read.schema("features array<string>, classes array<string>").json(f"{path}/about").first()
+        about = spark.read.schema(ABOUT).json(f"{path}/about").first()
     except AnalysisException:
         return None
-    return Fitted(PipelineModel.load(f"{path}/pipeline"), list(about["features"]), tuple(about["classes"]))
+    return Fitted(PipelineModel.load(f"{path}/pipeline"), list(about["features"]), tuple(about["classes"]), dict(about["means"] or {}))
 
 
 def train_all(readings: DataFrame, out_dir: str | None = None, p: TreeParams = TreeParams(), sensors=SENSORS,
               layout: Layout = LAYOUT) -> dict:
     """Features once, then the three model families; saved below ``out_dir`` if given."""
-    feats = written(build_features(readings, layout=layout), "features")
+    feats = split_frame(written(build_features(readings, layout=layout), "features"), sensors)
     cols = feature_columns(feats)
     models = {"potability": train_potability(feats, cols, p=p), "cause": train_cause(feats, cols, p=p),
-              "forecast": train_forecasts(feats, cols, sensors=sensors, p=p)}
+              "forecast": train_forecasts(feats, cols, sensors, p)}
     if out_dir:
         save_model(models["potability"], f"{out_dir}/potability")
         save_model(models["cause"], f"{out_dir}/cause")

@@ -12,8 +12,8 @@ from ..functions.scoring import deviation_score, risk_level, risk_raw
 from ..operators import alerts as A, diagnosis as D, features as X, quality as Q, risk as R, scenarios as N, splits as P
 from ..sources.fixture import readings
 from ..sources import io as IO
-from ..storage import new_path, once, remembered
-from ..streaming import scoring as SS, stateful as ST
+from ..storage import new_path, once, remembered, written
+from ..streaming import scoring as SS, series as ST
 from . import models as M, views as V
 
 IDS = ("site", "seq")
@@ -34,8 +34,8 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def alert_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Alert levels of all readings; its parts are written once per application."""
-    return remembered(spark, ("alerts", sf), lambda: A.alert_states(readings(spark, sf), keep=["ts", "event_type"]))
+    """Alert levels of all readings, written once per application."""
+    return once(spark, ("alerts", sf), lambda: A.alert_states(readings(spark, sf), keep=["ts", "event_type"]))
 
 
 def rule_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,11 +68,6 @@ def _hit_text(df: DataFrame) -> DataFrame:
     return df.select(*IDS, text.alias("hits"))
 
 
-def _message_head(df: DataFrame) -> DataFrame:
-    """The message up to the cause's name, which is where the rule texts begin."""
-    return V.messages(df).select(*IDS, F.regexp_extract("message", r'^(.*"cause":\{"cause":"[a-z_]+")', 1).alias("message_head"))
-
-
 def _features(r: DataFrame) -> DataFrame:
     f = X.build_features(r)
     return shown(f.select("site", "seq", "event_type", "potability", *X.feature_columns(f)))
@@ -103,16 +98,28 @@ def sql_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lags": lambda r: rounded(X.add_lags(r).select(*IDS, *[f"{s}_lag{k}" for s in SENSORS for k in LAGS])),
         "stuck_sensors": lambda r: X.add_stuck_flags(r).select(*IDS, *[f"{s}_stuck" for s in SENSORS]),
         "build_features": _features,
-        "forecast_target": lambda r: rounded(P.forecast_target(r.select(*IDS, "ph"), "ph")),
+        "forecast_target": lambda r: rounded(P.forecast_targets(r.select(*IDS, *SENSORS), SENSORS)),
         "blocked_split": lambda r: P.blocked_split(r.select(*IDS)),
         "ordered_split": lambda r: P.ordered_split(r.select(*IDS)),
         "ordered_split_global": lambda r: P.ordered_split(r.select(*IDS), per_site=False),
         "sensor_profile": lambda r: rounded(Q.sensor_profile(r)),
         "rule_hits_raw": lambda r: _hit_text(D.rule_hits(r, raw_only=True)),
-        "message_json": _message_head,
+        "message_json": V.messages,
+        "feed_labels": V.feed_labels,
+        "first_n_readings": lambda r: V.first_n(r, 25).select("site", "seq", "event_id", "ts"),
+        "latest_contributions": lambda r: rounded(V.latest_contributions(r).select("site", "seq", "rank", "sensor", "contribution")),
+        "sensor_trends": lambda r: rounded(V.sensor_trends(r), ["value"]),
+        "class_balance": lambda r: rounded(V.class_balance(r)),
+        "union_of_sites": lambda r: rounded(IO.union_sites([r.filter(F.col("site") == f"S{i}").drop("turbidity" if i == 4 else "none")
+                                                            for i in range(5)]).select(*IDS, "ph", "turbidity")),
+        "parsed_times": lambda r: IO.with_parsed_time(r.select(*IDS, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"))),
+        "risk_rank_metrics": lambda r: rounded(V.rank_metrics(
+            written(r.select("potability", F.round(1 - risk_raw(r.columns) / 100, 6).alias("score")), "safe"), "potability", "score"), digits=9),
+        "lags_of_slice": lambda r: rounded(X.add_lags(r.filter("seq >= 100")).select(*IDS, *[f"{s}_lag{k}" for s in SENSORS for k in LAGS])),
+        "alert_log_of_slice": lambda r: rounded(V.alert_log(A.alert_states(r.filter("seq >= 100"), keep=["ts", "event_type"]))),
         "site_comparison": lambda r: rounded(V.site_comparison(r)),
         "site_comparison_24h": lambda r: rounded(V.site_comparison(r, 288)),
-        "latest_diagnosis": lambda r: rounded(V.latest_diagnosis(r).drop("banner_evidence")),
+        "latest_diagnosis": lambda r: rounded(V.latest_diagnosis(r)),
         "data_table": lambda r: rounded(V.data_table(r)),
         "scenario_overlay": lambda r: rounded(N.overlay_scenarios(r, scenario_table(r)).select(
             *IDS, "event_type", "potability", "ph", "hardness", "chloramine", "thm", "turbidity", "conductivity", "organic_carbon")),
@@ -177,36 +184,45 @@ def csv_export(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- models
 
-SMALL = M.TreeParams(max_iter=5, max_depth=4, n_trees=10)
-
+def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return once(spark, ("features", sf), lambda: X.build_features(readings(spark, sf)))
 
-def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Features are written before the split joins them with their series sizes: over the
-    unwritten plan the join would compute them twice."""
-    return P.ordered_split(once(spark, ("features", sf), lambda: X.build_features(readings(spark, sf))))
 
-
-def _columns(f: DataFrame) -> list[str]:
-    return [c for c in X.feature_columns(f) if c != "role"]
+def split_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return remembered(spark, ("split-frame", sf), lambda: M.split_frame(feature_frame(spark, sf)))
 
 
 def _potability(spark, sf):
-    f = feature_table(spark, sf)
-    return remembered(spark, ("potability", sf), lambda: M.train_potability(f, _columns(f), p=SMALL))
+    return remembered(spark, ("potability", sf), lambda: M.train_potability(split_frame(spark, sf)))
 
 
 def _cause(spark, sf):
-    f = feature_table(spark, sf)
-    return remembered(spark, ("cause", sf), lambda: M.train_cause(f, _columns(f), p=SMALL))
+    return remembered(spark, ("cause", sf), lambda: M.train_cause(split_frame(spark, sf)))
 
 
 def _forecasts(spark, sf):
-    f = feature_table(spark, sf).drop("role")
-    return remembered(spark, ("forecasts", sf), lambda: M.train_forecasts(f, X.feature_columns(f), sensors=("ph", "chloramine"), p=SMALL))
+    return remembered(spark, ("forecasts", sf), lambda: M.train_forecasts(split_frame(spark, sf)))
 
 
 def _held_out(spark, sf):
-    return feature_table(spark, sf).filter("role = 'validate'")
+    return split_frame(spark, sf).filter("role = 'validate'")
+
+
+def blocked_split_features(spark, sf):
+    """Folds of the feature frame, which has lost the rows with nulls."""
+    return P.blocked_split(P.frame_positions(feature_frame(spark, sf).select(*IDS)), position="pos").drop("pos")
+
+
+def ordered_split_features(spark, sf):
+    return split_frame(spark, sf).select(*IDS, "role")
+
+
+def forecast_targets_features(spark, sf):
+    return rounded(split_frame(spark, sf).select(*IDS, *[f"target_{s}" for s in SENSORS]))
+
+
+def naive_forecast_mae(spark, sf):
+    return rounded(M.naive_mae(split_frame(spark, sf)))
 
 
 def potability_model(spark, sf):
@@ -221,19 +237,26 @@ def cause_confusion(spark, sf):
     return V.confusion(M.with_predicted_cause(_cause(spark, sf), _held_out(spark, sf)), "event_type", "predicted_cause")
 
 
+def cause_confusion_totals(spark, sf):
+    """Rows per true class of the confusion over the whole frame."""
+    cells = V.confusion(M.with_predicted_cause(_cause(spark, sf), split_frame(spark, sf)), "event_type", "predicted_cause")
+    return cells.select("event_type", sum((F.col(c) for c in cells.columns[1:]), F.lit(0).cast("bigint")).alias("n"))
+
+
 def ml_hits(spark, sf):
-    return D.diagnose(_held_out(spark, sf), _cause(spark, sf)).select("site", "seq", F.inline("diagnosis.ml_predictions"))
+    d = D.diagnose(split_frame(spark, sf), _cause(spark, sf))
+    return d.select(*IDS, F.inline("diagnosis.ml_predictions"))
 
 
 def hybrid_diagnosis_ml(spark, sf):
-    d = D.diagnose(_held_out(spark, sf), _cause(spark, sf))
-    return d.select("site", "seq", "event_type", "diagnosis.primary_cause", "diagnosis.confidence")
+    d = D.diagnose(split_frame(spark, sf), _cause(spark, sf))
+    return d.select(*IDS, "event_type", "diagnosis.primary_cause", "diagnosis.confidence")
 
 
 def cause_attribution(spark, sf):
     """Rows in which the classifier sees a cause other than normal operation."""
     model = _cause(spark, sf)
-    rows = M.with_predicted_cause(model, _held_out(spark, sf)).filter("predicted_cause <> 'normal'")
+    rows = M.with_predicted_cause(model, split_frame(spark, sf)).filter("predicted_cause <> 'normal'")
     return M.cause_attribution(rows.drop("probability", "prediction", "predicted_cause"), model)
 
 
@@ -241,42 +264,53 @@ def feature_importance(spark, sf):
     return M.importances(_potability(spark, sf), spark)
 
 
+def importance_summary(spark, sf):
+    """How many features have an importance, what they add up to, and whether ranks fall."""
+    return feature_importance(spark, sf).agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 6).alias("total"),
+                                             F.count_distinct("feature").alias("n_names"))
+
+
 def top_importances(spark, sf):
     return feature_importance(spark, sf).limit(15)
 
 
 def forecast_mae(spark, sf):
-    return M.forecast_mae(_forecasts(spark, sf), feature_table(spark, sf).drop("role"))
+    return M.forecast_mae(_forecasts(spark, sf), split_frame(spark, sf))
 
 
 def forecast_residuals_ml(spark, sf):
-    return M.forecast_residual_scores(_forecasts(spark, sf)["ph"], feature_table(spark, sf).drop("role"), "ph")
+    return M.forecast_residual_scores(_forecasts(spark, sf), split_frame(spark, sf))
 
 
 def future_risk(spark, sf):
-    return M.future_risk(_forecasts(spark, sf), feature_table(spark, sf).drop("role"))
+    return M.future_risk(_forecasts(spark, sf), split_frame(spark, sf))
 
 
 def cross_validation(spark, sf):
-    f = feature_table(spark, sf).drop("role")
-    return M.cross_validate(f, X.feature_columns(f), p=M.TreeParams(max_depth=4, n_trees=5))
+    return M.cross_validate(split_frame(spark, sf))
 
 
 def model_save_load(spark, sf):
-    """Predictions of the cause model after a round trip through storage."""
+    """Predictions of the cause model before and after a round trip through storage, for every row."""
     path = new_path(spark, "cause-model")
-    M.save_model(_cause(spark, sf), path)
-    return M.with_predicted_cause(M.load_model(spark, path), _held_out(spark, sf)).select("site", "seq", "predicted_cause")
+    model, rows = _cause(spark, sf), split_frame(spark, sf)
+    M.save_model(model, path)
+    again = M.with_predicted_cause(M.load_model(spark, path), rows).select(*IDS, F.col("predicted_cause").alias("again"))
+    return M.with_predicted_cause(model, rows).join(again, [*IDS]).select(*IDS, (F.col("again") == F.col("predicted_cause")).alias("same"))
 
 
 # ---------------------------------------------------------------- streams
 
+#: Time slices of a replayed table; each is one file, so a larger table wants more.
+SLICES = 3
+
+
 def _replay(spark: SparkSession, sf: str) -> DataFrame:
     r = readings(spark, sf)
 
     def lay_out():
         path = new_path(spark, "replay")
-        SS.write_in_time_order(r, path, max(4, r.count() // 1_000_000))
+        SS.write_in_time_order(r, path, SLICES)
         return path
 
     return SS.replay(spark, remembered(spark, ("replay", sf), lay_out), r.schema)
@@ -292,21 +326,25 @@ def stream_scores(spark, sf):
 
 
 def stream_alerts(spark, sf):
-    """All readings the watermark has passed, i.e. all but those of the last hour."""
-    out = _drained(spark, "alerts", ST.alert_stream(_replay(spark, sf), delay="1 hour"))
+    """Alert levels of all readings, batch by batch."""
+    out = ST.alert_stream(_replay(spark, sf), new_path(spark, "alert-stream"), order=("ts", "event_id"))
     return rounded(out.select("site", "ts", "risk", "alert_level", "alert_changed"))
 
 
 def stream_features(spark, sf):
-    return _drained(spark, "features", ST.feature_stream(_replay(spark, sf), delay="1 hour"))
+    """All features, batch by batch; rows with a null feature are dropped as in the batch frame."""
+    f = ST.feature_stream(_replay(spark, sf), new_path(spark, "feature-stream"), order=("ts", "event_id")).drop("batch")
+    cols = X.feature_columns(f)
+    return shown(f.dropna(subset=[*cols, "potability"]).select("site", "seq", "event_type", "potability", *cols))
 
 
 def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries that go through files, fitted models or streams."""
     return {f.__name__: f for f in (
-        raw_csv_profile, partitioned_sink, csv_export, potability_model, cause_model_report, cause_confusion, ml_hits,
-        hybrid_diagnosis_ml, cause_attribution, feature_importance, top_importances, forecast_mae, forecast_residuals_ml,
-        future_risk, cross_validation, model_save_load, stream_scores, stream_alerts, stream_features)}
+        raw_csv_profile, partitioned_sink, csv_export, blocked_split_features, ordered_split_features, forecast_targets_features,
+        naive_forecast_mae, potability_model, cause_model_report, cause_confusion, cause_confusion_totals, ml_hits, hybrid_diagnosis_ml,
+        cause_attribution, feature_importance, importance_summary, top_importances, forecast_mae, forecast_residuals_ml, future_risk,
+        cross_validation, model_save_load, stream_scores, stream_alerts, stream_features)}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

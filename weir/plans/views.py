@@ -15,12 +15,9 @@ from ..operators.alerts import alert_states
 from ..operators.chunks import CHUNK, carry, div, in_chunk
 from ..operators.diagnosis import diagnose, rule_hits_column
 from ..operators.risk import last_n, risk_series
+from ..operators.sites import with_site_values
 from ..sources.numbering import series_sizes
 
-# ---- fixed values: readings shown per choice of range; 0 is everything ----
-RANGES = {"6h": 72, "12h": 144, "24h": 288, "48h": 576, "7d": 2016, "all": 0}
-
-
 # ---------------------------------------------------------------- risk breakdown
 
 def _parts(columns, digits: int | None = None):
@@ -113,7 +110,7 @@ def latest(df: DataFrame, key: str = "site") -> DataFrame:
 
 def latest_diagnosis(df: DataFrame, n: int = 288, raw_only: bool = True, layout: Layout = LAYOUT) -> DataFrame:
     """Alert banner: newest reading per site with its risk, alert level and diagnosis."""
-    alerts = alert_states(last_n(df, n), one_chunk=0 < n <= layout.chunk, layout=layout)
+    alerts = alert_states(last_n(df, n), layout=layout)
     now = diagnose(latest(alerts), raw_only=raw_only)
     shown = F.col("alert_level") != "normal"
     return now.select(
@@ -125,6 +122,34 @@ def latest_diagnosis(df: DataFrame, n: int = 288, raw_only: bool = True, layout:
         cause_text("diagnosis.primary_cause").alias("cause_text"))
 
 
+def latest_contributions(df: DataFrame) -> DataFrame:
+    """What each sensor adds to the risk of the newest reading of its site, largest first."""
+    parts = risk_breakdown(latest(df))
+    rank = F.row_number().over(W.partitionBy("site").orderBy(F.desc("contribution"), "sensor"))  # nine rows per site
+    return parts.withColumn("rank", rank)
+
+
+def sensor_trends(df: DataFrame, sensors=None) -> DataFrame:
+    """Every sensor as a series of (value, low, high, outside), one row per reading and sensor."""
+    have = [s for s in (sensors or LIMITS) if s in df.columns]
+    rows = F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).alias("value"), F.lit(LIMITS[s].low).alias("low"),
+                              F.lit(LIMITS[s].high).alias("high"), F.lit(LIMITS[s].unit).alias("unit")) for s in have])
+    return df.select("site", "ts", "seq", F.inline(rows)).withColumn("outside", ~F.col("value").between(F.col("low"), F.col("high")))
+
+
+def class_balance(df: DataFrame, label: str = "potability") -> DataFrame:
+    """Readings per class of the label and their share."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select(  # one row
+        label, "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def first_n(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` readings of each site."""
+    starts = df.groupBy("site").agg(F.min("seq").alias("_start"))
+    return with_site_values(df, starts).filter(F.col("seq") < F.col("_start") + n).drop("_start")
+
+
 def cause_ranking(diagnosed: DataFrame) -> DataFrame:
     """Ranked causes of each diagnosed row, rank 1 first."""
     return diagnosed.select("site", "seq", F.posexplode("diagnosis.all_causes").alias("pos", "c")).select(
@@ -138,16 +163,16 @@ def event_counts(df: DataFrame, include_normal: bool = False) -> DataFrame:
 
 def data_table(df: DataFrame, n: int = 288, rows: int = 200, layout: Layout = LAYOUT) -> DataFrame:
     """The newest ``rows`` readings of each site's slice, newest first, with risk and alert level."""
-    full = alert_states(last_n(df, n), one_chunk=0 < n <= layout.chunk, layout=layout)
+    full = alert_states(last_n(df, n), layout=layout)
     cols = [c for c in ("ts", "site", *SENSORS, "risk", "alert_level", "event_type") if c in full.columns]
     sizes = series_sizes(full)
-    return (full.join(sizes, "site").filter(F.col("seq") >= F.col("n_rows") - rows)
+    return (with_site_values(full, sizes).filter(F.col("seq") >= F.col("n_rows") - rows)
             .select(*cols).orderBy("site", F.desc("ts")))
 
 
 def alert_log(alerts: DataFrame) -> DataFrame:
     """Changes of alert level. The first reading of a series counts as a change."""
-    return (alerts.filter((F.col("seq") == 0) | F.col("alert_changed"))
+    return (alerts.filter(F.col("prev_ts").isNull() | F.col("alert_changed"))
             .select("site", "seq", "ts", "alert_level", "risk", "event_type"))
 
 
@@ -181,7 +206,7 @@ def alert_episodes(alerts: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
 
     Works on the level changes only; the next change is looked up in the same chunk or
     carried back from a later one."""
-    starts = alerts.filter((F.col("seq") == 0) | F.col("alert_changed")).select(
+    starts = alerts.filter(F.col("prev_ts").isNull() | F.col("alert_changed")).select(
         "site", "seq", F.col("ts").alias("start_ts"), "alert_level", "prev_ts", div("seq", layout.chunk).alias(CHUNK))
     w = in_chunk()
     ahead = F.lead(F.struct(F.col("seq").alias("s"), F.col("prev_ts").alias("t"))).over(w)

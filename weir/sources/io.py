@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..config import RAW_TO_SENSOR, SENSORS
 from .numbering import number_series
 
-RAW_SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in (*RAW_TO_SENSOR, "Potability")])
 READING_SCHEMA = T.StructType(
     [T.StructField("site", T.StringType()), T.StructField("ts", T.TimestampType())]
     + [T.StructField(s, T.DoubleType()) for s in SENSORS]
@@ -22,12 +21,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """The static sample table: sensor columns renamed, label as ``potability``. Columns are
-    matched by header name, so order and absent columns do not matter."""
+    matched by header name, so order and absent columns do not matter; a cell that is no number is missing."""
     raw = spark.read.option("header", True).csv(path)
     known = {**RAW_TO_SENSOR, "Potability": "potability", "potability": "potability"}
-    out = raw.select(*[F.col(f"`{c}`").cast("double").alias(known[c]) for c in raw.columns if c in known])
+    out = raw.select(*[F.col(f"`{c}`").try_cast("double").alias(known[c]) for c in raw.columns if c in known])
     if "potability" in out.columns:
-        out = out.withColumn("potability", F.col("potability").cast("int"))
+        out = out.withColumn("potability", F.col("potability").try_cast("int"))
     return nan_to_null(out)
 
 

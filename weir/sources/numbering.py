@@ -44,6 +44,6 @@ def number_series(df: DataFrame, key: str = "site", order: tuple[str, ...] = ("t
     )
 
 
-def series_sizes(df: DataFrame, key: str = "site") -> DataFrame:
+def series_sizes(df: DataFrame, key: str = "site", position: str = "seq") -> DataFrame:
     """Rows per series, from the numbering (map-side max, one row per series)."""
-    return df.groupBy(key).agg((F.max("seq") + 1).alias("n_rows"))
+    return df.groupBy(key).agg((F.max(position) + 1).alias("n_rows"))
