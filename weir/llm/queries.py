@@ -66,6 +66,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+# Bytes as two hexadecimal digits; a start is later if its string has started before, and starts at most
+# 100 apart remove one run.
+OP4_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, p, substr(h, 2 * p - 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS p FROM t)),
+ f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1 AS later FROM w),
+ i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS first FROM f WHERE later),
+ n AS (SELECT doc_id, p, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+ r AS (SELECT doc_id, run, min(p) AS a, max(p) + 99 AS z FROM n GROUP BY doc_id, run),
+ k AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS x, a - 1 AS y FROM r
+       UNION ALL SELECT t.doc_id, coalesce(max(z), 0) + 1, max(len(h) // 2) FROM t LEFT JOIN r USING (doc_id) GROUP BY t.doc_id),
+ s AS (SELECT k.doc_id, string_agg(substr(h, CAST(2 * x - 1 AS BIGINT), CAST(greatest(2 * (y - x + 1), 0) AS BIGINT)), '' ORDER BY x) AS kept
+       FROM k JOIN t USING (doc_id) GROUP BY k.doc_id),
+ c AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(kept)) AS kept_sha256 FROM t JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 # Quantiles are exact here; the sketches are exact as well while a group has fewer texts than their size.
 OP5_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
@@ -106,4 +124,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
