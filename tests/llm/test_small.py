@@ -254,9 +254,9 @@ def test_rates_reach_the_targets(spark):
     texts = [of(common + (["nice", "good"] if i % 4 else ["bad", "ugly"]), rng.randint(10, 60)) for i in range(300)] + [None, ""]
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(i, "bad" if i % 4 == 0 else "good") for i in range(200)] + [(None, "good")], "doc_id long, domain string")
-    out = mixing.mix(docs.select("doc_id", "text"), labels, {"bad": 0.1, "good": 0.9}).toPandas()
-    total = (out["_n_tokens"].to_numpy()[:, None] * np.stack(out["_p"]) * out["_rate"].to_numpy()[:, None]).sum(axis=0)
-    assert np.allclose(total / out["_n_tokens"].sum(), [0.1, 0.9], atol=1e-3) and (out["_rate"] >= 0).all()
+    out = mixing.rates_of(docs, labels, {"bad": 0.1, "good": 0.9}).toPandas()
+    total = (out["n_tokens"].to_numpy()[:, None] * out[["p_bad", "p_good"]].to_numpy() * out["rate"].to_numpy()[:, None]).sum(axis=0)
+    assert np.allclose(total / out["n_tokens"].sum(), [0.1, 0.9], atol=1e-3) and (out["rate"] >= 0).all()
 
 
 def test_mixing_without_labels_or_rows(spark):

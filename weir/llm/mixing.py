@@ -148,29 +148,36 @@ def fit(members: DataFrame, targets: list[float], iterations: int = ITERATIONS)
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, n: int = SAMPLE) -> DataFrame:
-    """The columns of ``docs``, and _n_tokens, _p and _rate. The documents are written with their
-    posteriors, so their texts are read once."""
+def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], n: int = SAMPLE) -> tuple[dict, DataFrame, list[np.ndarray]]:
+    """The classifier, a written table of doc_id and the posteriors ``m`` of every row, and the steps
+    that lead to the rates."""
     names = sorted(targets)
     model = train(docs, labelled, names, n)
-    members = written(docs.withColumn("_m", posteriors(whole_text(), model, len(names))), "members")
-    small = members.select("_m.n_tokens", "_m.p")
-    steps = fit(small, [targets[d] for d in names])
-    return members.withColumns({"_n_tokens": F.col("_m.n_tokens"), "_p": F.col("_m.p"), "_rate": _rate(F.col("_m.p"), steps)}).drop("_m")
+    members = written(docs.select("doc_id", posteriors(whole_text(), model, len(names)).alias("m")), "members")
+    return model, members, fit(members.select("m.n_tokens", "m.p"), [targets[d] for d in names])
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_tokens, the posterior of every domain, rate."""
-    out = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), domains_of(labels), targets)
-    return out.select("doc_id", F.col("_n_tokens").alias("n_tokens"),
-                      *[F.round(F.get("_p", F.lit(i)), 9).alias(f"p_{d}") for i, d in enumerate(sorted(targets))], F.round("_rate", 9).alias("rate"))
+    return rates_of(docs, domains_of(labels), targets)
+
+
+def rates_of(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """The same for domains as labelled in a table of doc_id, domain."""
+    _, members, steps = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled, targets)
+    return members.select("doc_id", "m.n_tokens", *[F.round(F.get("m.p", F.lit(i)), 9).alias(f"p_{d}") for i, d in enumerate(sorted(targets))],
+                          F.round(_rate(F.col("m.p"), steps), 9).alias("rate"))
 
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` mixed: every row as often as its rate says, the fraction drawn by a hash of its id
-    and text, so that a repeated run draws the same."""
-    out = mix(packed(docs, "doc_id", "text"), domains_of(labels), targets)
+    and text, so that a repeated run draws the same. Posteriors are made twice, for the fit and for
+    the draw, so that texts are neither written nor moved in between."""
+    rows = packed(docs, "doc_id", "text")
+    model, _, steps = fitted(rows.drop("row"), domains_of(labels), targets)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(F.col("_rate") + draw).cast("int")
-    return out.withColumn("_times", times).filter("_times > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    rate = bound(posteriors(whole_text(), model, len(targets)), lambda m: _rate(m.p, steps))
+    times = F.floor(rate + draw).cast("int")
+    # filtered by the copies, not by their number: a condition on that would work out the posteriors again
+    copies = F.explode_outer(F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times"))))
+    return rows.select("row", times.alias("times")).withColumn("copy", copies).filter("copy IS NOT NULL").select("row.*")

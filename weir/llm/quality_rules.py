@@ -107,26 +107,33 @@ def thresholds(judged: DataFrame, sketch: int = SKETCH, min_group: int = MIN_GRO
     return written(all_three.select("_lang", "_source", chosen.alias("limits")), "thresholds")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but its text, the struct ``rules``, and kept. What is judged is written
-    first, so the texts are read and counted once."""
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with the struct ``rules`` and the group's names, without the text."""
     name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    counted = written(base(docs).withColumns({"_lang": name("lang"), "_source": name("source")}).drop("text"), "judged")
-    joined = join_small(counted, thresholds(counted), ["_lang", "_source"])
+    return base(docs).withColumns({"_lang": name("lang"), "_source": name("source")}).drop("text")
+
+
+def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    joined = join_small(counted, limits, ["_lang", "_source"])
     inside = F.lit(True)
     for s in SHARES:
         inside = inside & F.col(f"rules.{s}").between(F.col(f"limits.{s}_low"), F.col(f"limits.{s}_high"))
-    kept = ~F.col("rules.base_failed") & F.coalesce(inside, F.lit(False))
+    # one indivisible condition: a part pushed below the join would count the words once more
+    kept = F.forall(F.array(~F.col("rules.base_failed"), F.coalesce(inside, F.lit(False))), lambda x: x)
     return joined.withColumn("kept", kept).drop("_lang", "_source", "limits")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the shares."""
-    judged = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"))
-    return judged.select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words",
-                         "rules.base_failed", "kept", *[f"rules.{s}" for s in SHARES])
+    counted = written(_named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")), "counted")
+    return _judged(counted, thresholds(counted)).select(
+        "doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words",
+        "rules.base_failed", "kept", *[f"rules.{s}" for s in SHARES])
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept."""
-    return judge(packed(docs, "text", "lang", "source")).filter("kept").select("row.*")
+    """The rows of ``docs`` that are kept. The counts are made twice, for the thresholds and for the
+    verdicts, so that texts are neither written nor moved in between."""
+    rows = packed(docs, "text", "lang", "source")
+    counted = written(_named(rows.drop("row")), "counted")
+    return _judged(_named(rows), thresholds(counted)).filter("kept").select("row.*")

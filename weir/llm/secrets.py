@@ -86,13 +86,13 @@ def steps(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substring(token, i, 2))
 
 
-def ratios(scanned: DataFrame, n: int = SAMPLE) -> list[int]:
-    """Log-likelihood ratio, in thousandths of a nat, of every pair of characters. ``scanned`` is a
-    written table with doc_id, text and base spans; the documents are those with the smallest
-    hashes, ``n`` of them in expectation."""
-    total = scanned.count()
-    part = min(1.0, n / max(1, total))
-    some = scanned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("doc_id", "text", "base")
+def ratios(docs: DataFrame, n: int = SAMPLE) -> list[int]:
+    """Log-likelihood ratio, in thousandths of a nat, of every pair of characters, counted on the
+    documents with the smallest hashes of their ids, ``n`` of them in expectation."""
+    part = min(1.0, n / max(1, docs.count()))
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    text = whole_text()
+    some = written(chosen.select("doc_id", text.alias("text"), base_spans(text).alias("base")), "sample")
     value = lambda s: F.regexp_extract(F.substr(F.col("text"), s.start + 1, s.end - s.start), r"([A-Za-z0-9+/_.=-]+)$", 1)
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
     wide = F.base64(F.unhex(digest))
@@ -136,10 +136,10 @@ def ratio(token: Column, table: list[int]) -> Column:
 
 
 def scan(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """The columns of ``docs``, ``base`` and ``spans`` (all of them), sorted by start and kind."""
-    scanned = written(docs.withColumns({"_text": whole_text(), "base": base_spans(whole_text())}), "scanned")
-    table = ratios(scanned.select("doc_id", F.col("_text").alias("text"), "base"), n)
-    text, kind = F.col("_text"), len(KINDS)
+    """The columns of ``docs``, ``base`` and ``spans`` (all of them), sorted by start and kind. One pass
+    over the texts once the models are counted."""
+    table = ratios(docs.select("doc_id", "text"), n)
+    text, kind = whole_text(), len(KINDS)
 
     def added(base: Column) -> Column:
         spans = found(text, kind, TOKEN, 0, 0)
@@ -151,8 +151,9 @@ def scan(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
 
         return F.filter(apart, passes)
 
-    spans = F.when(text.rlike(TOKEN), bound(F.col("base"), lambda b: F.sort_array(F.concat(b, added(b))))).otherwise(F.col("base"))
-    return scanned.withColumn("spans", spans).drop("_text")
+    more = lambda b: F.when(text.rlike(TOKEN), F.sort_array(F.concat(b, added(b)))).otherwise(b)
+    both = bound(base_spans(text), lambda b: F.struct(b.alias("base"), more(b).alias("spans")))
+    return docs.withColumn("_s", both).withColumns({"base": F.col("_s.base"), "spans": F.col("_s.spans")}).drop("_s")
 
 
 def secrets(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
