@@ -43,6 +43,23 @@ r AS (SELECT event_id, ts, 'S'||cast(site_id as varchar) AS site, seq, event_typ
 FROM q)"""
 
 
+MEASURED = """
+m AS (SELECT event_id, ts, 'S' || CAST(user_id % 5 AS VARCHAR) AS site, event_type AS kind, value,
+  CAST(row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) - 1 AS BIGINT) AS seq FROM events),
+r AS (SELECT event_id, ts, site, seq,
+ CASE kind WHEN 'error' THEN 'sensor_fault' WHEN 'purchase' THEN 'operational_change' WHEN 'view' THEN 'stagnation' ELSE 'normal' END AS event_type,
+ CASE WHEN kind <> 'view' THEN 5.5e0 + 0.02e0 * value END AS ph,
+ CASE WHEN kind IN ('signup', 'click', 'error') THEN 120 + value END AS hardness,
+ 300 + 2 * value AS tds,
+ CASE WHEN kind <> 'error' THEN 3 - 0.02e0 * value END AS chloramine,
+ CASE WHEN kind IN ('purchase', 'view') THEN 100 + value END AS sulfate,
+ 350 + 4 * value AS conductivity,
+ 1 + 0.05e0 * value AS organic_carbon,
+ CASE WHEN kind <> 'signup' THEN 30 + 0.9e0 * value END AS thm,
+ 0.5e0 + 0.06e0 * value AS turbidity,
+ CASE WHEN value < 100 THEN 1 ELSE 0 END AS potability FROM m)"""
+
+
 def num(x: float) -> str:
     return f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x))
 
@@ -439,4 +456,10 @@ def statements() -> dict[str, str]:
         f"CASE WHEN alert_level = 'critical' THEN {lookup(primary(RAW_HITS), EXPLAIN)} END AS banner_evidence, "
         f"{primary(RAW_HITS)} AS primary_cause, {lookup(primary(RAW_HITS), CAUSE_TEXT)} AS cause_text FROM al WHERE seq = n_rows - 1")
     q["csv_export"] = q["data_table"]
+    q["measured_risk_series"] = f"{WITH_RISK} SELECT {ids}, {single('risk_raw', 'risk_raw')}, {single('risk', 'risk')} FROM risk".replace(READINGS, MEASURED)
+    q["measured_ewma"] = f"{WITH_R}, {ewma_cte()} SELECT {ids}, {', '.join(single(c, c) for c in EWMA)} FROM ew".replace(READINGS, MEASURED)
+    q["measured_ewma_impute"] = (f"{WITH_R}, {ewma_cte(spans=(6,))} SELECT {ids}, " + ", ".join(single(f"coalesce(r.{s}, ew.{s}_ewma_6)", s) for s in SENSORS)
+                                 + " FROM r JOIN ew USING (site, seq)").replace(READINGS, MEASURED)
+    for name in ("alert_states", "rolling_stats", "lags", "diffs", "stuck_sensors", "sensor_profile", "missing_flags", "limit_breaches"):
+        q[f"measured_{name}"] = q[name].replace(READINGS, MEASURED)
     return q

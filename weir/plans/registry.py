@@ -10,7 +10,7 @@ from ..config import DIFFS, LAGS, LIMITS, RAW_TO_SENSOR, SENSORS, SPANS
 from ..functions.calendar import add_time_encodings
 from ..functions.scoring import deviation_score, risk_level, risk_raw
 from ..operators import alerts as A, diagnosis as D, features as X, quality as Q, risk as R, scenarios as N, splits as P
-from ..sources.fixture import readings
+from ..sources.fixture import measured_readings, readings
 from ..sources import io as IO
 from ..storage import new_path, once, remembered, written
 from ..streaming import scoring as SS, series as ST
@@ -25,6 +25,11 @@ def rounded(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def single(df: DataFrame) -> DataFrame:
+    """Doubles at single precision: values made of few-digit numbers often lie between two decimals."""
+    return df.select(*[F.col(c).cast("float").cast("double").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def shown(df: DataFrame) -> DataFrame:
     """As :func:`rounded`, but rolling means at single precision: means of few-digit values
     often lie exactly between two 6-digit decimals."""
@@ -55,6 +60,14 @@ def _readings_query(f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: f(readings(spark, sf))
 
 
+#: Queries that also run on the measured readings, which have nulls in most sensors.
+MEASURED = ("rolling_stats", "lags", "diffs", "stuck_sensors", "sensor_profile", "missing_flags", "limit_breaches")
+
+
+def _measured_query(f) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: f(measured_readings(spark, sf))
+
+
 def _alerts_query(f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: f(alert_table(spark, sf))
 
@@ -151,7 +164,13 @@ def sql_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confusion": lambda f: V.confusion(V.pseudo_labels(f)),
         "classification_report": lambda f: rounded(V.classification_report(V.pseudo_labels(f))),
     }
+    on_measured = {f"measured_{k}": on_readings[k] for k in MEASURED}
+    on_measured["measured_alert_states"] = lambda r: rounded(A.alert_states(r, keep=["ts", "event_type"]).select(*IDS, "risk", "alert_level", "alert_changed"))
+    on_measured["measured_risk_series"] = lambda r: single(R.risk_series(r).select(*IDS, "risk_raw", "risk"))
+    on_measured["measured_ewma"] = lambda r: single(X.add_ewma(r).select(*IDS, *[f"{s}_ewma_{k}" for s in SENSORS for k in SPANS]))
+    on_measured["measured_ewma_impute"] = lambda r: single(Q.ewma_impute(r).select(*IDS, *SENSORS))
     return {**{k: _readings_query(f) for k, f in on_readings.items()},
+            **{k: _measured_query(f) for k, f in on_measured.items()},
             **{k: _alerts_query(f) for k, f in on_alerts.items()},
             **{k: _rules_query(f) for k, f in on_rules.items()}}
 

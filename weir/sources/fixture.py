@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import once
+from ..storage import once, stamp
 from .numbering import number_series
 
 _JITTER = "(((event_id * {k}) % 101) / 100.0e0 - 0.5e0)"
@@ -64,7 +64,7 @@ def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             order=("ts", "event_id"),
         )
 
-    return once(spark, ("events", sf_dir), build)
+    return once(spark, ("events", sf_dir, stamp(spark, f"{sf_dir}/events.parquet")), build)
 
 
 def as_readings(numbered: DataFrame) -> DataFrame:
@@ -83,3 +83,33 @@ def as_readings(numbered: DataFrame) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_readings(numbered_events(spark, sf_dir))
+
+
+# Each kind of event measures some of the sensors; its value is the measurement.
+_MEASURED = {
+    "ph": "CASE WHEN kind <> 'view' THEN 5.5e0 + 0.02e0 * value END",
+    "hardness": "CASE WHEN kind IN ('signup', 'click', 'error') THEN 120 + value END",
+    "tds": "300 + 2 * value",
+    "chloramine": "CASE WHEN kind <> 'error' THEN 3 - 0.02e0 * value END",
+    "sulfate": "CASE WHEN kind IN ('purchase', 'view') THEN 100 + value END",
+    "conductivity": "350 + 4 * value",
+    "organic_carbon": "1 + 0.05e0 * value",
+    "thm": "CASE WHEN kind <> 'signup' THEN 30 + 0.9e0 * value END",
+    "turbidity": "0.5e0 + 0.06e0 * value",
+}
+
+
+def measured_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings whose sensors come from the measured column ``events.value``, with nulls in most sensors."""
+
+    def build():
+        ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+        return number_series(
+            ev.select(F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("site"), F.col("ts").cast("timestamp").alias("ts"),
+                      "event_id", F.col("event_type").alias("kind"), "value"), order=("ts", "event_id"))
+
+    rows = once(spark, ("measured", sf_dir, stamp(spark, f"{sf_dir}/events.parquet")), build)
+    cause = F.expr("CASE kind WHEN 'error' THEN 'sensor_fault' WHEN 'purchase' THEN 'operational_change' WHEN 'view' THEN 'stagnation' ELSE 'normal' END")
+    return rows.select("event_id", "ts", "site", "seq", cause.alias("event_type"),
+                       *[F.expr(e).cast("double").alias(s) for s, e in _MEASURED.items()],
+                       F.expr("CASE WHEN value < 100 THEN 1 ELSE 0 END").alias("potability"))

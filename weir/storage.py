@@ -7,6 +7,7 @@ keeps column pruning and survives lost executors.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -55,6 +56,24 @@ def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(_tables[full])
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """A mark of what a table holds now: the names, sizes and times of its files. Part of the key of
+    :func:`once`, so that a table that was rewritten is read again."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listStatus(at)
+    marks = sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.blake2b("\n".join(marks).encode(), digest_size=8).hexdigest()
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete all tables this application has written below the shared folder, and forget them."""
+    forget(spark)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Drop the memory of tables written by :func:`once` (the files stay)."""
     app = spark.sparkContext.applicationId
