@@ -120,6 +120,16 @@ def _blocks(texts: list[bytes]):
         yield first, run
 
 
+def packed_place(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First start and signed number of starts in one number, which halves what the shuffles carry of them."""
+    return (lo.astype(np.int64) << 32) | n.astype(np.int32).view(np.uint32).astype(np.int64)
+
+
+def unpacked_place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First start and number of starts without its sign."""
+    return at >> 32, np.abs((at & 0xFFFFFFFF).astype(np.uint32).view(np.int32)).astype(np.int64)
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -280,47 +290,48 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
         raw = [t.encode() for t in batch.column("text").to_pylist()]
         parts = [(first, stretches_of(run, length, gram)) for first, run in _blocks(raw)]
         return {"anchor": np.concatenate([p[3] for _, p in parts]), "doc": np.concatenate([doc[p[0] + first] for first, p in parts]),
-                "lo": np.concatenate([p[1] for _, p in parts]).astype(np.int32), "n": np.concatenate([p[2] for _, p in parts]).astype(np.int32)}
+                "at": np.concatenate([packed_place(p[1], p[2]) for _, p in parts])}
 
-    found = in_batches(texts.select("doc", "text"), "anchor long, doc long, lo int, n int", winnow)
-    times = found.groupBy("anchor").agg(F.sum(F.when(F.col("n") < 0, 2).otherwise(1)).alias("times")).filter("times > 1")
+    found = in_batches(texts.select("doc", "text"), "anchor long, doc long, at long", winnow)
+    times = found.groupBy("anchor").agg(F.sum(F.when(F.shiftleft("at", 32) < 0, 2).otherwise(1)).alias("times")).filter("times > 1")
     shared = written(times, "shared-anchors")  # a table of its own, so that the join below can split a frequent anchor
     salt = F.pmod(F.xxhash64("doc", "anchor"), F.ceil(F.col("times") / shard))
+    # shards of a part of a frequent anchor have negative numbers
+    part = -1 - F.shiftrightunsigned(F.xxhash64("anchor", salt), 2)
     dealt = found.join(shared, "anchor").select(
-        "doc", "lo", "n", F.when(F.col("times") <= shard, F.pmod("anchor", F.lit(shards))).otherwise(F.xxhash64("anchor", salt)).alias("shard"),
-        (F.col("times") > shard).alias("part"))
-    lists = dealt.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "shard", "part")).alias("at"))
+        "doc", "at", F.when(F.col("times") <= shard, F.pmod("anchor", F.lit(shards))).otherwise(part).alias("shard"))
+    lists = dealt.groupBy("doc").agg(F.collect_list(F.struct("at", "shard")).alias("at"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         at = batch.column("at")
         items = at.flatten()
         field = lambda name: items.field(name).to_numpy(zero_copy_only=False)
-        lo, n = field("lo"), np.abs(field("n"))
+        lo, n = unpacked_place(field("at"))
         sizes = np.diff(at.offsets.to_numpy())
         owner = np.repeat(np.arange(batch.num_rows), sizes)
         raw = [t.encode() for t in batch.column("text").to_pylist()]
         piece = [raw[o][a:a + k + length - 1] for o, a, k in zip(owner.tolist(), lo.tolist(), n.tolist())]
-        return {"shard": field("shard"), "part": field("part"), "doc": batch.column("doc").to_numpy()[owner], "lo": lo, "piece": piece}
+        return {"shard": field("shard"), "doc": batch.column("doc").to_numpy()[owner], "lo": lo.astype(np.int32), "piece": piece}
 
-    pieces = in_batches(texts.join(lists, "doc").select("doc", "text", "at"), "shard long, part boolean, doc long, lo int, piece binary", cut)
+    pieces = in_batches(texts.join(lists, "doc").select("doc", "text", "at"), "shard long, doc long, lo int, piece binary", cut)
     span_type = arrow_schema(spark, "key binary, shard long, doc long, start int, end int")
 
     def in_shard(table: pa.Table) -> pa.Table:
+        name = table.column("shard")[0].as_py()
         (doc, a, b), runs = repeats(table.column("doc").to_numpy(), table.column("lo").to_numpy().astype(np.int64),
-                                    table.column("piece").to_pylist(), length, table.column("part")[0].as_py())
+                                    table.column("piece").to_pylist(), length, name < 0)
         keys, doc2, start2 = runs if runs else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
-        name = table.column("shard")[0].as_py()
         return pa.Table.from_arrays([
-            pa.array([None] * len(doc) + keys, span_type[0].type), pa.array([name] * (len(doc) + len(keys)), span_type[1].type),
+            pa.array([None] * len(doc) + keys, span_type[0].type), pa.array([None] * len(doc) + [name] * len(keys), span_type[1].type),
             pa.array(np.concatenate([doc, doc2]), span_type[2].type), pa.array(np.concatenate([a, start2]).astype(np.int32), span_type[3].type),
             pa.array(np.concatenate([b, start2 + length]).astype(np.int32), span_type[4].type)], schema=span_type)
 
-    out = pieces.groupBy("shard", "part").applyInArrow(in_shard, "key binary, shard long, doc long, start int, end int")
+    out = pieces.groupBy("shard").applyInArrow(in_shard, "key binary, shard long, doc long, start int, end int")
     place = F.when(F.col("key").isNull(), F.pmod(F.xxhash64("doc"), F.lit(shards))).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
     done_type = arrow_schema(spark, "doc long, start int, end int")
 
     def merge(table: pa.Table) -> pa.Table:
-        key, name = table.column("key").to_pylist(), table.column("shard").to_numpy()
+        key, name = table.column("key").to_pylist(), np.array([x or 0 for x in table.column("shard").to_pylist()], np.int64)
         doc, start, end = (table.column(c).to_numpy() for c in ("doc", "start", "end"))
         open_rows = np.array([k is not None for k in key], bool)
         cols = [(doc[~open_rows], start[~open_rows], end[~open_rows])]
