@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chaining, mixing, quality_fm, quality_rules, secrets, simhash, suffix_dedup, topk, toxicity
+from . import bpe, chaining, fim, licenses, mixing, quality_fm, quality_rules, secrets, simhash, suffix_dedup, topk, toxicity, whitening
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,18 @@ def op10_chaining(spark: SparkSession, sf: str) -> DataFrame:
     return chaining.passage_groups(table(spark, sf, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fim.digests(table(spark, sf, "documents"))
+
+
 OP1_SQL = """
 WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -117,11 +129,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   symbols, capitals, dup_lines, word_length FROM s LEFT JOIN v USING (id)
 """
 
+# Phrases at every word, and every block of every notice without any filter before the count.
+_NOTICES = ", ".join(f"('{n.label}', {n.stride}, {n.need}, {n.words!r})" for n in licenses.notices_of())
+OP11_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+ i AS (SELECT id, words, unnest(range(0, len(words))) AS p FROM w),
+ p AS (SELECT id, p, 'mit' AS label FROM i WHERE words[p + 1] = 'mit' AND words[p + 2] = 'license'
+   UNION ALL SELECT id, p, 'apache' FROM i WHERE words[p + 1] = 'apache' AND words[p + 2] = 'license'
+   UNION ALL SELECT id, p, 'gpl' FROM i WHERE words[p + 1] = 'general' AND words[p + 2] = 'public' AND words[p + 3] = 'license'),
+ b AS (SELECT id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM p GROUP BY id),
+ t(label, stride, need, toks) AS (VALUES {_NOTICES}),
+ s AS (SELECT id, stride, words[k * stride + 1:(k + 2) * stride] AS block FROM
+        (SELECT id, words, stride, unnest(range(0, CAST(ceil(len(words) / stride) AS BIGINT))) AS k FROM w, (SELECT DISTINCT stride FROM t))),
+ c AS (SELECT id, label, len(list_intersect(toks, block)) AS common, need, len(toks) AS size FROM s JOIN t USING (stride)),
+ m AS (SELECT id, label, max(common / size) AS containment FROM c WHERE common >= need GROUP BY id, label),
+ l AS (SELECT id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT id, label FROM p UNION ALL SELECT id, label FROM m) GROUP BY id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN b USING (id) LEFT JOIN l USING (id) LEFT JOIN (SELECT id, max(containment) AS best FROM m GROUP BY id) USING (id)
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u,
+             sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ d AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100
+           THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM t),
+ c AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS a, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(u[greatest(x, y) + 1:], '') AS z FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM c
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_simhash, op4_suffix_dedup, op5_quality_rules, op6_mixing, op7_quality,
-                                    op8_bpe, op9_secrets, op10_chaining)}
+                                    op8_bpe, op9_secrets, op10_chaining, op11_licenses, op12_whitening, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op11_licenses": OP11_SQL,
+            "op13_fill_in_middle": OP13_SQL}
