@@ -89,7 +89,8 @@ def thresholds(judged: DataFrame, sketch: int = SKETCH, min_group: int = MIN_GRO
     good = judged.filter("NOT rules.base_failed")
     own = written(good.groupBy("_lang", "_source").agg(
         F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_bigint(F.col(f"rules.{s}"), sketch).alias(s) for s in SHARES]), "sketches")
-    merged = lambda keys: own.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_bigint(s).alias(s) for s in SHARES])
+    # no texts at all merge to a sketch without values, which has no quantiles
+    merged = lambda keys: own.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_bigint(s).alias(s) for s in SHARES]).filter("n > 0")
 
     def fences(sketches: DataFrame, name: str) -> DataFrame:
         cols = []
