@@ -60,6 +60,18 @@ r AS (SELECT event_id, ts, site, seq,
  CASE WHEN value < 100 THEN 1 ELSE 0 END AS potability FROM m)"""
 
 
+# Arrivals by slice. A slice is judged by the watermark of the slice before it: the newest time of the
+# slices before that one, less an hour, in whole milliseconds.
+ALIVE = """
+ne AS (SELECT count(*) AS n FROM events),
+ar AS (SELECT event_id, ts, user_id, event_type, value, CAST(least(floor((event_id + CASE WHEN event_id % 13 = 4 THEN n / 5.0e0 WHEN event_id % 7 = 2 THEN n / 400.0e0
+    ELSE 0.0e0 END + again * n / 30.0e0) * 8 / n), 9) AS INTEGER) AS arrival
+  FROM events, ne, (VALUES (0), (1)) t(again) WHERE again = 0 OR event_id % 17 = 3),
+tops AS (SELECT arrival, max(epoch_ms(ts)) AS top FROM ar GROUP BY arrival),
+marks AS (SELECT a.arrival, max(b.top) - 3600000 AS mark FROM tops a LEFT JOIN tops b ON b.arrival <= a.arrival - 2 GROUP BY a.arrival),
+alive AS (SELECT DISTINCT event_id, ts, user_id, event_type, value FROM ar JOIN marks USING (arrival) WHERE mark IS NULL OR epoch_us(ts) > mark * 1000)"""
+
+
 def num(x: float) -> str:
     return f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x))
 
@@ -462,4 +474,5 @@ def statements() -> dict[str, str]:
                                  + " FROM r JOIN ew USING (site, seq)").replace(READINGS, MEASURED)
     for name in ("alert_states", "rolling_stats", "lags", "diffs", "stuck_sensors", "sensor_profile", "missing_flags", "limit_breaches"):
         q[f"measured_{name}"] = q[name].replace(READINGS, MEASURED)
+    q["stream_late_rows"] = q["alert_states"].replace(READINGS, f"{ALIVE}, {MEASURED.replace('FROM events', 'FROM alive')}")
     return q

@@ -10,9 +10,9 @@ from ..config import DIFFS, LAGS, LIMITS, RAW_TO_SENSOR, SENSORS, SPANS
 from ..functions.calendar import add_time_encodings
 from ..functions.scoring import deviation_score, risk_level, risk_raw
 from ..operators import alerts as A, diagnosis as D, features as X, quality as Q, risk as R, scenarios as N, splits as P
-from ..sources.fixture import measured_readings, readings
+from ..sources.fixture import as_measured, measured_events, measured_readings, readings
 from ..sources import io as IO
-from ..storage import new_path, once, remembered, written
+from ..storage import new_path, once, remembered, stamp, written
 from ..streaming import scoring as SS, series as ST
 from . import models as M, views as V
 
@@ -320,19 +320,29 @@ def model_save_load(spark, sf):
 
 # ---------------------------------------------------------------- streams
 
-#: Time slices of a replayed table; each is one file, so a larger table wants more.
-SLICES = 3
+#: Least number of time slices of a replayed table, and rows from which there are more.
+SLICES, SLICE_ROWS = 3, 2_000_000
+
+
+def _files(spark: SparkSession) -> int:
+    """Files of a slice: as many as tasks after a shuffle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _stamped(spark: SparkSession, sf: str, name: str, table: str = "events") -> tuple:
+    return name, sf, stamp(spark, f"{sf}/{table}.parquet")
 
 
 def _replay(spark: SparkSession, sf: str) -> DataFrame:
     r = readings(spark, sf)
 
     def lay_out():
-        path = new_path(spark, "replay")
-        SS.write_in_time_order(r, path, SLICES)
-        return path
+        path, files = new_path(spark, "replay"), _files(spark)
+        SS.write_in_time_order(r, path, max(SLICES, -(-r.count() // SLICE_ROWS)), files)
+        return path, files
 
-    return SS.replay(spark, remembered(spark, ("replay", sf), lay_out), r.schema)
+    path, files = remembered(spark, _stamped(spark, sf, "replay"), lay_out)
+    return SS.replay(spark, path, r.schema, files)
 
 
 def _drained(spark: SparkSession, name: str, stream: DataFrame) -> DataFrame:
@@ -352,18 +362,51 @@ def stream_alerts(spark, sf):
 
 def stream_features(spark, sf):
     """All features, batch by batch; rows with a null feature are dropped as in the batch frame."""
-    f = ST.feature_stream(_replay(spark, sf), new_path(spark, "feature-stream"), order=("ts", "event_id")).drop("batch")
+    f = ST.feature_stream(_replay(spark, sf), new_path(spark, "feature-stream"), order=("ts", "event_id"))
     cols = X.feature_columns(f)
     return shown(f.dropna(subset=[*cols, "potability"]).select("site", "seq", "event_type", "potability", *cols))
 
 
+#: Slices of the arrivals below, and after them.
+ARRIVALS, AFTER = 8, 2
+
+
+def arrivals(events: DataFrame, n: int) -> DataFrame:
+    """Events with the slice in which they arrive: every 13th a fifth of all events late, every 7th a
+    little late, and every 17th once more some time after."""
+    late = F.when(F.col("event_id") % 13 == 4, n / 5.0).when(F.col("event_id") % 7 == 2, n / 400.0).otherwise(0.0)
+    copies = F.when(F.col("event_id") % 17 == 3, F.array(F.lit(0.0), F.lit(n / 30.0))).otherwise(F.array(F.lit(0.0)))
+    at = events.withColumn("_again", F.explode(copies)).withColumn("_at", F.col("event_id") + late + F.col("_again"))
+    turn = F.least(F.floor(F.col("_at") * ARRIVALS / n), F.lit(ARRIVALS + AFTER - 1)).cast("int")
+    return at.withColumn("arrival", turn).drop("_again", "_at")
+
+
+def stream_late_rows(spark, sf):
+    """Alert levels of measured readings that arrive out of order, late and twice: what is behind the
+    watermark when it arrives is dropped, and of doubled readings one counts."""
+    events = measured_events(spark, sf)
+    files = max(1, _files(spark) // 2)
+
+    def lay_out():
+        path, n = new_path(spark, "arrivals"), events.count()
+        rows = arrivals(events, n)
+        for turn in range(ARRIVALS + AFTER):  # each slice is one trigger: exactly ``files`` files
+            SS.write_slices(rows.filter(F.col("arrival") == turn).drop("arrival"), [F.lit(True)], path, files)
+        return path
+
+    path = remembered(spark, _stamped(spark, sf, "arrivals"), lay_out)
+    stream = as_measured(SS.replay(spark, path, events.schema, files))
+    out = ST.alert_stream(stream, new_path(spark, "late-stream"), dedupe=True, order=("ts", "event_id"))
+    return rounded(out.select(*IDS, "risk", "alert_level", "alert_changed"))
+
+
 def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries that go through files, fitted models or streams."""
     return {f.__name__: f for f in (
         raw_csv_profile, partitioned_sink, csv_export, blocked_split_features, ordered_split_features, forecast_targets_features,
         naive_forecast_mae, potability_model, cause_model_report, cause_confusion, cause_confusion_totals, ml_hits, hybrid_diagnosis_ml,
         cause_attribution, feature_importance, importance_summary, top_importances, forecast_mae, forecast_residuals_ml, future_risk,
-        cross_validation, model_save_load, stream_scores, stream_alerts, stream_features)}
+        cross_validation, model_save_load, stream_scores, stream_alerts, stream_features, stream_late_rows)}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -99,17 +99,23 @@ _MEASURED = {
 }
 
 
-def measured_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings whose sensors come from the measured column ``events.value``, with nulls in most sensors."""
+def measured_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as (site, ts, event_id, kind, value)."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ev.select(F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("site"), F.col("ts").cast("timestamp").alias("ts"),
+                     "event_id", F.col("event_type").alias("kind"), "value")
 
-    def build():
-        ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-        return number_series(
-            ev.select(F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("site"), F.col("ts").cast("timestamp").alias("ts"),
-                      "event_id", F.col("event_type").alias("kind"), "value"), order=("ts", "event_id"))
 
-    rows = once(spark, ("measured", sf_dir, stamp(spark, f"{sf_dir}/events.parquet")), build)
+def as_measured(events: DataFrame) -> DataFrame:
+    """Sensor columns of measured events (numbered or not)."""
     cause = F.expr("CASE kind WHEN 'error' THEN 'sensor_fault' WHEN 'purchase' THEN 'operational_change' WHEN 'view' THEN 'stagnation' ELSE 'normal' END")
-    return rows.select("event_id", "ts", "site", "seq", cause.alias("event_type"),
-                       *[F.expr(e).cast("double").alias(s) for s, e in _MEASURED.items()],
-                       F.expr("CASE WHEN value < 100 THEN 1 ELSE 0 END").alias("potability"))
+    return events.select("event_id", "ts", "site", *[c for c in ("seq",) if c in events.columns], cause.alias("event_type"),
+                         *[F.expr(e).cast("double").alias(s) for s, e in _MEASURED.items()],
+                         F.expr("CASE WHEN value < 100 THEN 1 ELSE 0 END").alias("potability"))
+
+
+def measured_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings whose sensors come from the measured column ``events.value``, with nulls in most sensors."""
+    rows = once(spark, ("measured", sf_dir, stamp(spark, f"{sf_dir}/events.parquet")),
+                lambda: number_series(measured_events(spark, sf_dir), order=("ts", "event_id")))
+    return as_measured(rows)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scoring import risk_level, risk_raw
 from ..operators.diagnosis import rule_hits_column
@@ -16,8 +18,6 @@ def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
 
 def score_stream(stream: DataFrame) -> DataFrame:
     """Raw risk, level, first rule hit and feed message per reading. No state, no shuffle."""
-    from pyspark.sql import functions as F
-
     hits = rule_hits_column(stream.columns, raw_only=True)
     ids = [c for c in ("site", "ts", "seq") if c in stream.columns]
     scored = stream.withColumns({"risk_index": risk_raw(stream.columns), "_hits": hits})
@@ -27,16 +27,20 @@ def score_stream(stream: DataFrame) -> DataFrame:
         message_column(stream.columns).alias("message"))
 
 
-def write_in_time_order(df: DataFrame, path: str, slices: int) -> None:
-    """Lay readings out for replay: one file per time slice, written in order, so that the
-    file source (oldest file first) plays them back in event time."""
-    from pyspark.sql import functions as F
+def write_slices(df: DataFrame, slices: Iterable[Column], path: str, files: int) -> None:
+    """Lay rows out for replay: each slice is one job of ``files`` tasks that write a file each, and slices are
+    written one after the other, so the file source (oldest first, ``files`` per trigger) plays them back in order."""
+    for part in slices:
+        df.filter(part).repartition(files).write.mode("append").parquet(path)
+
 
-    us = df.withColumn("_us", F.unix_micros("ts"))
-    cuts = us.approxQuantile("_us", [i / slices for i in range(1, slices)], 0.001)
+def write_in_time_order(df: DataFrame, path: str, slices: int, files: int) -> None:
+    """Lay readings out in ``slices`` of event time, each of ``files`` files of like size."""
+    us = F.unix_micros("ts")
+    cuts = df.select(us.alias("us")).approxQuantile("us", [i / slices for i in range(1, slices)], 0.1 / slices)
     bounds = [None, *sorted({int(c) for c in cuts}), None]
+    within = []
     for low, high in zip(bounds, bounds[1:]):
-        part = us
-        part = part.filter(F.col("_us") > low) if low is not None else part
-        part = part.filter(F.col("_us") <= high) if high is not None else part
-        part.drop("_us").repartition(1).write.mode("append").parquet(path)
+        after = F.col("ts") > F.timestamp_micros(F.lit(low)) if low is not None else F.lit(True)
+        within.append(after & (F.col("ts") <= F.timestamp_micros(F.lit(high))) if high is not None else after)
+    write_slices(df, within, path, files)

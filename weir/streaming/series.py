@@ -1,123 +1,208 @@
 """Series operators on a stream: smoothed risk, alert levels and all window features.
 
-Every micro-batch runs the batch operators, cut into chunks, on the readings it releases
-and the last readings before them, so a site's work spreads over tasks. Readings wait
-until the watermark has passed them, are numbered on from the site's last position, and
-are released in event-time order; what arrives later than the delay is dropped. State is
-three small tables per batch in the stream's folder: the waiting readings, the last
-``KEEP`` released ones of each site (with their alert level, where the alert machine goes
-on from), and the watermark. A batch that is run again reads the state of the batch before
-and overwrites its own, so results are exact after a failure.
-
-The waiting readings follow the released ones as context too: the back-fill of a lag takes
-the next reading that has arrived when the row is released, and is null where none has. Exponential means reach back ``KEEP`` readings, which is
-beyond double precision unless a sensor has been silent for longer.
+State is Spark's: ``transformWithStateInPandas`` keeps, per site, the readings that wait for
+the watermark, the sums, counters and level the fold goes on from, and the last readings it
+looks back on. Spark drops what comes behind the watermark, forgets doubled readings within it,
+versions the state with the checkpoint, and wakes a site with an event-time timer when the
+watermark has passed its earliest waiting reading. Released readings leave in event-time order
+and are numbered on.
+
+A site's readings of one micro-batch pass one task, as their order demands; what that can be
+is bounded by the rate the source admits per trigger, not by the site's history. Work per
+reading is numpy on whole runs (:mod:`weir.streaming.folds`), and only the columns a fold
+needs travel to it.
+
+The back-fill of a lag takes the next reading that has arrived when the row is released, and
+is null where none has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, functions as F
-
-from ..config import LAYOUT, RISK_SPAN, AlertParams, Layout
-from ..operators.alerts import LEVELS, alert_states
-from ..operators.features import all_features
-from ..operators.sites import with_site_values
-from ..sources.numbering import number_series
-from ..storage import written
-
-#: Readings of each site that stay as context.
-KEEP = 1024
-
-
-def _micros(interval: str) -> int:
-    units = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
-    n, unit = interval.split()
-    return int(float(n) * units[unit.rstrip("s")] * 1_000_000)
-
-
-def run_series(stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, delay: str = "1 hour",
-               dedupe: bool = False, flush: bool = True, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Drain what the source holds now through ``step`` and return all results.
-
-    ``step`` takes numbered readings (context and new ones) and returns rows with site and seq;
-    rows of the context are left out. ``flush`` releases the waiting readings at the end of the
-    input. ``path`` keeps results, state and progress, so a later call goes on from there."""
-    spark, wait = stream.sparkSession, _micros(delay)
-    columns = [c for c in stream.columns if c != "seq"]
-
-    def table(batch: int, name: str) -> str:
-        return f"{path}/state/{batch}/{name}"
-
-    def load(batch: int) -> tuple[DataFrame, DataFrame, int | None]:
-        if batch < 0:
-            none = spark.createDataFrame([], stream.schema).select(*columns)
-            return none, none.withColumns({"seq": F.lit(0).cast("bigint"), "known_level": F.lit(0)}), None
-        mark = spark.read.parquet(table(batch, "mark")).first()["us"]
-        return spark.read.parquet(table(batch, "waiting")), spark.read.parquet(table(batch, "tail")), mark
-
-    def process(fresh: DataFrame, batch: int, last: bool = False) -> None:
-        waiting, tail, mark = load(batch - 1)
-        us = F.unix_micros("ts")
-        fresh = fresh.select(*columns)
-        if mark is not None:
-            fresh = fresh.filter(us > mark)
-        pool = waiting.unionByName(fresh)
-        pool = written(pool.dropDuplicates(["site", "ts"]) if dedupe else pool, "pool")
-        newest = pool.agg(F.max(us)).first()[0]
-        reached = max([x for x in (mark, None if newest is None else newest if last else newest - wait) if x is not None], default=None)
-        numbered = number_series(pool, "site", order)
-        ends = tail.groupBy("site").agg(F.max("seq").alias("_end"))
-        new = with_site_values(numbered, ends, how="left").withColumn("seq", F.col("seq") + F.coalesce(F.col("_end") + 1, F.lit(0)))
-        context = written(tail.unionByName(new.drop("_end").withColumn("known_level", F.lit(None).cast("int"))), "context")
-        released = us <= reached if reached is not None else F.lit(False)
-        out = with_site_values(step(context), ends, how="left").filter("_end IS NULL OR seq > _end").drop("_end")
-        out.filter(released).write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
-        done = spark.read.parquet(f"{path}/out/batch={batch}")
-        if "alert_level" in done.columns:
-            level = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("alert_level")).cast("int") - 1
-            context = context.join(done.select("site", "seq", level.alias("_level")), ["site", "seq"], "left").withColumn(
-                "known_level", F.coalesce("_level", "known_level")).drop("_level")
-        context = context.filter(released)
-        tops = context.groupBy("site").agg(F.max("seq").alias("_top"))
-        kept = with_site_values(context, tops).filter(F.col("seq") > F.col("_top") - KEEP).drop("_top")
-        kept.write.mode("overwrite").parquet(table(batch, "tail"))
-        pool.filter(~released).write.mode("overwrite").parquet(table(batch, "waiting"))
-        spark.createDataFrame([(reached,)], "us long").write.mode("overwrite").parquet(table(batch, "mark"))
-
-    seen = [-1]
-
-    def each(batch: DataFrame, number: int) -> None:
-        process(batch, number)
-        seen[0] = number
-
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if flush and seen[0] >= 0:
-        process(spark.createDataFrame([], stream.schema), seen[0] + 1, last=True)
-    return spark.read.parquet(f"{path}/out")
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..config import RISK_SPAN, SENSORS, AlertParams
+from ..functions.calendar import time_encodings
+from ..functions.scoring import risk_raw
+from ..operators.features import present, ratio_exprs
+from .folds import AlertFold, FeatureFold
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The end of a finished stream: later than any reading.
+END = "2200-01-01"
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+class InOrder(StatefulProcessor):
+    """Holds a site's readings until the watermark passes them, then folds them in ``order``."""
+
+    def __init__(self, fold, order: tuple[str, ...], carried: list[str]):
+        self.fold, self.order, self.carried = fold, list(order), carried
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "first_us long, rows binary")  # one entry per batch of arrivals
+        self.earliest = handle.getValueState("earliest", "us long")
+        self.known = handle.getValueState("known", self.fold.state)
+        self.tail = handle.getListState("tail", "values array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [f[~f["is_end"]].drop(columns=["is_end", "ts"]) for f in rows]
+        fresh = pd.concat(frames, ignore_index=True)
+        if len(fresh):
+            self._hold([(int(fresh["us"].min()), _packed(fresh))], add=True)
+        return iter(())
+
+    def _hold(self, parts: list[tuple[int, bytes]], add: bool) -> None:
+        first = min(us for us, _ in parts)
+        if add:
+            self.waiting.appendList(parts)
+            first = min(first, self.earliest.get()[0]) if self.earliest.exists() else first
+        else:
+            self.waiting.put(parts)
+        self.earliest.update((first,))
+        self.handle.registerTimer(-(-first // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        if not self.earliest.exists() or self.earliest.get()[0] > reached:
+            return iter(())  # an earlier timer of this site has released its readings
+        rows = pd.concat([_unpacked(data) for _, data in self.waiting.get()], ignore_index=True)
+        rows = rows.sort_values(["us", *self.order], kind="stable", ignore_index=True)
+        n = int(np.searchsorted(rows["us"].to_numpy(), reached, side="right"))
+        ready, ahead = rows.iloc[:n], rows.iloc[n:]
+        if len(ahead):
+            self._hold([(int(ahead["us"].iloc[0]), _packed(ahead))], add=False)
+        else:
+            self.waiting.clear()
+            self.earliest.clear()
+        keep = self.fold.tail
+        tail = np.array([v for (v,) in self.tail.get()], float) if keep and self.tail.exists() else None
+        tail = np.empty((0, len(self.fold.sensors) if keep else 0)) if tail is None else tail
+        state, made = self.fold(self.known.get() if self.known.exists() else self.fold.start, ready, tail, ahead)
+        self.known.update(state)
+        if keep:
+            last = np.vstack([tail, ready[list(self.fold.sensors)].to_numpy(float)[-keep:]])[-keep:]
+            self.tail.put([(v,) for v in last.tolist()])
+        out = {"site": np.full(n, key[0], object), **{c: ready[c] for c in self.carried}, **made}
+        return iter([pd.DataFrame(out)])
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, fold, delay: str = "1 hour", dedupe: bool = False, order: tuple[str, ...] = ("ts",),
+             carried: tuple[str, ...] = (), ends: DataFrame | None = None) -> DataFrame:
+    """A streaming table with site, ts, the ``carried`` columns and what ``fold`` makes of each reading.
+    ``ends`` is a stream of times that no later reading undercuts; such a time moves the watermark
+    without being a reading."""
+    ties = tuple(c for c in order if c != "ts")
+    kept = list(dict.fromkeys(("us", *ties, *carried)))
+    needed = [c for c in dict.fromkeys((*kept, *getattr(fold, "sensors", ("risk_raw",))))]
+    rows = stream.withColumns({"us": F.unix_micros("ts"), "is_end": F.lit(False)}).select("site", "ts", "is_end", *needed)
+    if ends is not None:
+        types = dict(rows.dtypes)
+        marks = ends.select(F.lit(None).cast("string").alias("site"), F.col("ts"), F.lit(True).alias("is_end"),
+                            *[F.lit(None).cast(types[c]).alias(c) for c in needed])
+        rows = rows.unionByName(marks)
+    rows = rows.withWatermark("ts", delay)
+    if dedupe:
+        rows = rows.dropDuplicatesWithinWatermark(["site", "ts", *ties])
+    types = dict(rows.dtypes)
+    schema = f"site string, {', '.join(f'`{c}` {types[c]}' for c in kept)}, {fold.made}"
+    out = rows.groupBy("site").transformWithStateInPandas(InOrder(fold, ties, kept), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def alerts_in_order(stream: DataFrame, params: AlertParams = AlertParams(), span: int = RISK_SPAN, **how) -> DataFrame:
+    """Streaming table with the smoothed risk and alert level of every reading."""
+    scored = stream.withColumn("risk_raw", risk_raw(stream.columns))  # one number per reading goes to the fold
+    out = in_order(scored, AlertFold(params, span), **how)
+    return out.select("site", "seq", "ts", *how.get("carried", ()), "risk", "alert_level", "alert_changed")
+
+
+def features_in_order(stream: DataFrame, **how) -> DataFrame:
+    """Streaming table with all features of every reading, and the readings' own columns."""
+    fold = FeatureFold(tuple(present(stream, SENSORS)))
+    own = [c for c in stream.columns if c not in ("site", "ts", "seq")]
+    out = in_order(stream, fold, carried=tuple(own), **how)
+    return out.select("*", *[c.alias(n) for n, c in time_encodings("ts").items()], *[F.expr(e) for e in ratio_exprs(out.columns)])
+
+
+# ---------------------------------------------------------------- running
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, whose size is not bound by memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def end_marks(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of end marks, none at first."""
+    folder = f"{path}/ends"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return spark.readStream.schema("ts timestamp").parquet(folder)
+
+
+def mark_end(spark: SparkSession, path: str, end: str = END) -> None:
+    spark.range(1).select(F.lit(end).cast("timestamp").alias("ts")).write.mode("append").parquet(f"{path}/ends")
+
+
+def start_to_table(stream: DataFrame, path: str, checkpoint: str, now: bool = True) -> StreamingQuery:
+    out = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    with state_store(stream.sparkSession):
+        return (out.trigger(availableNow=True) if now else out).start()
 
 
-def alert_stream(stream: DataFrame, path: str, params: AlertParams = AlertParams(), span: int = RISK_SPAN, delay: str = "1 hour",
-                 dedupe: bool = False, flush: bool = True, order: tuple[str, ...] = ("ts",), layout: Layout = LAYOUT) -> DataFrame:
-    """Smoothed risk and alert level of every reading."""
-    def step(context: DataFrame) -> DataFrame:
-        done = alert_states(context, params, span, keep=["ts", "known_level"], layout=layout)
-        return done.select("site", "seq", "ts", "risk", "alert_level", "alert_changed")
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain what the source holds now into a parquet table and return it."""
+    start_to_table(stream, path, checkpoint).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
-    return run_series(stream, step, path, delay, dedupe, flush, order)
 
+def _drained(stream: DataFrame, make, path: str, flush: bool) -> DataFrame:
+    """Run the table that ``make(ends)`` gives; with ``flush`` the input is over, and what still waits is
+    released. ``path`` keeps results, state and progress, so a later call goes on from there."""
+    spark = stream.sparkSession
+    table = make(end_marks(spark, path))
+    out = run_to_table(table, f"{path}/out", f"{path}/progress")
+    if flush:
+        mark_end(spark, path)
+        out = run_to_table(table, f"{path}/out", f"{path}/progress")
+    return out
 
-def feature_stream(stream: DataFrame, path: str, delay: str = "1 hour", dedupe: bool = False, flush: bool = True,
-                   order: tuple[str, ...] = ("ts",), layout: Layout = LAYOUT) -> DataFrame:
-    """All features of every reading, as :func:`weir.operators.features.all_features` gives them."""
-    return run_series(stream, lambda context: all_features(context.drop("known_level"), layout=layout), path, delay, dedupe, flush, order)
 
+def alert_stream(stream: DataFrame, path: str, params: AlertParams = AlertParams(), span: int = RISK_SPAN, delay: str = "1 hour",
+                 dedupe: bool = False, flush: bool = True, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Smoothed risk and alert level of every reading the source holds now."""
+    return _drained(stream, lambda ends: alerts_in_order(stream, params, span, delay=delay, dedupe=dedupe, order=order, ends=ends), path, flush)
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Drain what the source holds now into a parquet table and return it."""
-    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+def feature_stream(stream: DataFrame, path: str, delay: str = "1 hour", dedupe: bool = False, flush: bool = True,
+                   order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """All features of every reading the source holds now."""
+    return _drained(stream, lambda ends: features_in_order(stream, delay=delay, dedupe=dedupe, order=order, ends=ends), path, flush)
