@@ -104,8 +104,6 @@ class AlertParams:
     def __post_init__(self):
         if self.persistence < 1:
             raise ValueError("persistence must be at least 1")
-        if self.warn > self.crit:
-            raise ValueError("warn must not exceed crit")
 
 
 @dataclass(frozen=True)
