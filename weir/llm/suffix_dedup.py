@@ -37,7 +37,7 @@ from .common import arrow_schema, in_batches, keyed
 LENGTH = 100
 GRAM = 16
 #: Bytes hashed at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 17  # small enough that the arrays of hashes stay in the cache
 #: Stretches a shard holds about, and the most of one anchor that go to one shard.
 SHARD = 16_384
 #: Stretches per byte of text that winnowing yields on average: two per window of grams.
@@ -172,7 +172,7 @@ def suffix_array(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int = 2048) -> np.ndarray:
+def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int = 1 << 15) -> np.ndarray:
     """Common prefix, up to ``most`` bytes or a little over, of every entry of the suffix array with
     the one before. Kasai's walk in text order, where a prefix shrinks by one byte at most from a
     position to the next; ``lanes`` stretches of the text are walked side by side."""
@@ -182,7 +182,7 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int
         return lcp
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
-    lanes = max(1, min(lanes, n // 64))
+    lanes = max(1, min(lanes, n // 48))  # long enough that the full comparison at a lane's start does not count
     step = -(-n // lanes)
     i = np.arange(lanes) * step
     end = np.minimum(i + step, n)
@@ -201,9 +201,8 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int
             a, b = i[grow] + size[grow], j[grow] + size[grow]
             inside = (a < n) & (b < n)
             x = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
-            same = np.zeros(len(grow), np.int64)
-            for k in range(1, 9):
-                same += x < np.uint64(1 << (64 - 8 * k)) if k < 8 else x == 0
+            # the highest differing bit, kept from rounding up by clearing the bits right below a set one
+            same = (64 - np.frexp((x & ~(x >> np.uint64(1))).astype(float))[1]) >> 3
             size[grow] += np.where(inside, same, 0)
             grow = grow[inside & (same == 8) & (size[grow] < most)]
         size = np.minimum(size, n - np.maximum(i, j))
