@@ -474,5 +474,14 @@ def statements() -> dict[str, str]:
                                  + " FROM r JOIN ew USING (site, seq)").replace(READINGS, MEASURED)
     for name in ("alert_states", "rolling_stats", "lags", "diffs", "stuck_sensors", "sensor_profile", "missing_flags", "limit_breaches"):
         q[f"measured_{name}"] = q[name].replace(READINGS, MEASURED)
+    q["lead_time_quantiles"] = (f"{WITH_EV}, x AS (SELECT event_type, count(*) AS n_events, list_sort(list(lead_us)) AS xs FROM lt WHERE lead_us IS NOT NULL GROUP BY event_type) "
+                                "SELECT event_type, n_events, " + ", ".join(f"CAST(xs[CAST(ceil({p / 100} * n_events) AS BIGINT)] AS BIGINT) AS lead_us_p{p}" for p in (50, 90, 99)) + " FROM x")
+    q["sql_site_comparison"], q["sql_site_comparison_24h"] = q["site_comparison"], q["site_comparison_24h"]
+    q["sql_risk_levels"] = q["risk_levels"]
+    q["sql_risk_raw"] = q["risk_raw"]
+    q["sql_alerts_of_site"] = q["alert_states"] + " WHERE site = 'S1'"
+    q["sql_breaches"] = f"{WITH_R} SELECT {ids}, 'turbidity' AS sensor, {r6('turbidity', 'value')} FROM r WHERE turbidity < 0 OR turbidity > 4"
+    q["sql_diagnoses"] = (f"{WITH_R}, {rule_cte()} SELECT {ids}, {primary(HITS)} AS primary_cause, {confidence(HITS)} AS confidence, {lookup(primary(HITS), CAUSE_TEXT)} AS cause_text, "
+                          + "CASE " + primary(HITS) + " " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CAUSES)) + " END AS cause_index FROM fe")
     q["stream_late_rows"] = q["alert_states"].replace(READINGS, f"{ALIVE}, {MEASURED.replace('FROM events', 'FROM alive')}")
     return q

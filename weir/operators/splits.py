@@ -7,11 +7,11 @@ a frame that lost rows (features with nulls dropped) is numbered again with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import HORIZON, LAYOUT, Layout
 from ..sources.numbering import number_series, series_sizes
-from .chunks import CHUNK, in_chunk, own_rows, with_chunks
+from .chunks import CHUNK, div, in_chunk, own_rows, with_chunks
 from .sites import with_site_values
 
 
@@ -48,8 +48,6 @@ def ordered_split(df: DataFrame, fraction: float = 0.75, per_site: bool = True,
         cut = F.floor(F.col("n_rows") * fraction)
         at = F.col(position)
     else:
-        from pyspark.sql import Window as W
-
         # over one row per site, not over readings
         before = W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
@@ -60,11 +58,18 @@ def ordered_split(df: DataFrame, fraction: float = 0.75, per_site: bool = True,
     return out.select(*df.columns, "role")
 
 
-def forecast_targets(df: DataFrame, sensors, horizon: int = HORIZON, key: str = "site", position: str = "seq") -> DataFrame:
+def forecast_targets(df: DataFrame, sensors, horizon: int = HORIZON, key: str = "site", position: str = "seq",
+                     layout: Layout = LAYOUT) -> DataFrame:
     """Add ``target_<sensor>``: the sensor's value ``horizon`` rows of the frame later (null beyond its
-    end), all sensors by one join on positions."""
-    later = df.select(key, (F.col(position) - horizon).alias(position), *[F.col(s).alias(f"target_{s}") for s in sensors])
-    return df.join(later.filter(F.col(position) >= 0), [key, position], "left")
+    end). Each chunk also gets the ``horizon`` rows after it, so one exchange serves all sensors."""
+    at = F.col(position)
+    mine, before = div(at, layout.chunk), div(F.greatest(at - horizon, F.lit(0)), layout.chunk)
+    # a row ahead of its chunk brings nothing but the values to be looked up
+    cut = df.withColumn(CHUNK, F.explode(F.sequence(before, mine))).repartition(key, CHUNK)
+    there = W.partitionBy(key, CHUNK).orderBy(position).rangeBetween(horizon, horizon)
+    later = F.first(F.struct(*[F.col(s) for s in sensors])).over(there)
+    out = cut.withColumn("_later", later).filter(F.col(CHUNK) == mine)
+    return out.select(*df.columns, *[F.col(f"_later.{s}").alias(f"target_{s}") for s in sensors])
 
 
 def forecast_target(df: DataFrame, sensor: str, horizon: int = HORIZON, key: str = "site", position: str = "seq") -> DataFrame:

@@ -14,7 +14,7 @@ from ..sources.fixture import as_measured, measured_events, measured_readings, r
 from ..sources import io as IO
 from ..storage import new_path, once, remembered, stamp, written
 from ..streaming import scoring as SS, series as ST
-from . import models as M, views as V
+from . import models as M, surface as SQL, views as V
 
 IDS = ("site", "seq")
 
@@ -149,6 +149,7 @@ def sql_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_summary": V.alert_summary,
         "alert_stats": V.alert_stats,
         "lead_times": V.lead_times,
+        "lead_time_quantiles": lambda a: V.lead_time_quantiles(V.lead_time_sketches(a)),
         "lead_time_histogram": lambda a: V.lead_time_histogram(a, width_s=7200, bins=24),
         "false_alarms_per_day": lambda a: rounded(rounded(V.false_alarms_per_day(a), ["days", "per_day"]), ["mean_detect_s"], 3),
         "risk_stability": lambda a: rounded(V.risk_stability(a)),
@@ -318,6 +319,30 @@ def model_save_load(spark, sf):
     return M.with_predicted_cause(model, rows).join(again, [*IDS]).select(*IDS, (F.col("again") == F.col("predicted_cause")).alias("same"))
 
 
+# ---------------------------------------------------------------- spark.sql only
+
+def _sql(text: str, alerts: bool = False, rules: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that is nothing but SQL over the registered views and functions."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        SQL.register(spark, readings(spark, sf), alert_table(spark, sf) if alerts else None, rule_frame(spark, sf) if rules else None)
+        return spark.sql(text)
+
+    return run
+
+
+def surface_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    r6 = lambda *names: ", ".join(f"round({c}, 6) AS {c}" for c in names)
+    return {
+        "sql_site_comparison": _sql(f"SELECT site, {r6('current_risk', 'avg_risk', 'max_risk')}, n_readings, status FROM site_comparison(50)"),
+        "sql_site_comparison_24h": _sql(f"SELECT site, {r6('current_risk', 'avg_risk', 'max_risk')}, n_readings, status FROM site_comparison(n => 288)"),
+        "sql_risk_levels": _sql("SELECT site, seq, risk_level(risk) AS risk_level FROM risk"),
+        "sql_risk_raw": _sql(f"SELECT site, seq, round(risk_index({', '.join(SENSORS)}), 6) AS risk_raw FROM readings"),
+        "sql_alerts_of_site": _sql("SELECT site, seq, round(risk, 6) AS risk, alert_level, alert_changed FROM alerts_of('S1')", alerts=True),
+        "sql_breaches": _sql("SELECT site, seq, sensor, round(value, 6) AS value FROM breaches_of('turbidity')"),
+        "sql_diagnoses": _sql("SELECT site, seq, primary_cause, confidence, cause_text(primary_cause) AS cause_text, cause_index(primary_cause) AS cause_index FROM diagnoses", rules=True),
+    }
+
+
 # ---------------------------------------------------------------- streams
 
 #: Least number of time slices of a replayed table, and rows from which there are more.
@@ -410,4 +435,4 @@ def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**sql_queries(), **job_queries()}
+    return {**sql_queries(), **surface_queries(), **job_queries()}

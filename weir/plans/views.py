@@ -242,6 +242,20 @@ def lead_time_histogram(alerts: DataFrame, width_s: int = 600, bins: int = 12) -
     return lead.groupBy("event_type", bucket.alias("bucket")).agg(F.count("*").alias("n_events"))
 
 
+def lead_time_sketches(alerts: DataFrame, size: int = 2048) -> DataFrame:
+    """A mergeable quantile sketch of the lead times per site and event type: what days or regions store
+    to be added up later by :func:`lead_time_quantiles`. Exact up to ``size`` detected events."""
+    lead = lead_times(alerts).filter("lead_us IS NOT NULL")
+    return lead.groupBy("site", "event_type").agg(F.count("*").alias("n_events"), F.kll_sketch_agg_bigint("lead_us", F.lit(size)).alias("sketch"))
+
+
+def lead_time_quantiles(sketches: DataFrame, ranks=(0.5, 0.9, 0.99), by=("event_type",)) -> DataFrame:
+    """Lead times (microseconds) at ``ranks`` from merged sketches: the smallest value that at least this share
+    of the detected events does not exceed. The rank error is that of the sketch, about 1.3 / size."""
+    merged = sketches.groupBy(*by).agg(F.sum("n_events").alias("n_events"), F.kll_merge_agg_bigint("sketch").alias("sketch")).filter("n_events > 0")
+    return merged.select(*by, "n_events", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias(f"lead_us_p{round(q * 100)}") for q in ranks])
+
+
 def false_alarms_per_day(alerts: DataFrame) -> DataFrame:
     """False alarms per day of data and mean time to detect, per site."""
     days = alerts.groupBy("site").agg(
