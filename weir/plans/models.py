@@ -6,8 +6,10 @@ table, since fitting scans it many times; :func:`train_all` writes it once.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,8 +24,10 @@ from ..operators.diagnosis import diagnose
 from ..operators.features import build_features, feature_columns
 from ..operators.sites import with_site_values
 from ..operators.splits import blocked_split, forecast_target, forecast_targets, frame_positions, ordered_split
+from ..shipping import ship
 from ..storage import written
 from . import views as V
+from .trees import Forest, node_table, split_counts, top_contributions
 
 
 @dataclass(frozen=True)
@@ -212,24 +216,10 @@ def attributions(df: DataFrame, model: Fitted, top_n: int = 5, ids=("site", "seq
     """ids, cause and the array ``contributions``: what a row's predicted cause rests on, as the fall in
     its probability when one feature is set to its mean over the training rows. Not Shapley values.
 
-    Every feature the model uses is tried; one it does not use cannot change anything. The rows are
-    dealt by their ids before they are multiplied, so the trials of a row never leave its task."""
-    used = [f for f, v in zip(model.features, model.model.featureImportances.toArray()) if v > 0]
-    base = model.transform(df).withColumns({"_pred": F.col("prediction").cast("int"), "_base": vector_to_array("probability")})
-    base = base.select(*ids, *model.features, "_pred", F.get("_base", F.col("_pred")).alias("_p0")).repartition(*ids)
-    tried = base.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(used))])))
-    spot = {f: i for i, f in enumerate(used)}
-    value = F.get(F.array(*[F.col(f).cast("double") for f in used]), F.col("_f"))
-    tried = tried.withColumn("_v", value).select(
-        *ids, "_pred", "_p0", "_f", "_v",
-        *[(F.when(F.col("_f") == spot[f], F.lit(model.means[f])).otherwise(F.col(f)) if f in spot else F.col(f)).alias(f)
-          for f in model.features])
-    again = model.transform(tried)
-    drop = F.col("_p0") - F.get(vector_to_array("probability"), F.col("_pred"))
-    name = F.get(F.array(*[F.lit(f) for f in used]), F.col("_f"))
-    slim = again.select(*ids, "_pred", name.alias("feature"), drop.alias("contribution"), F.col("_v").alias("value"))
-    best = slim.groupBy(*ids).agg(F.first("_pred").alias("_pred"), F.slice(F.array_sort(F.collect_list(
-        F.struct((-F.abs("contribution")).alias("k"), "feature", "contribution", "value"))), 1, top_n).alias("best"))
+    Every feature the model uses is tried, on the model's table of nodes (:mod:`weir.plans.trees`): rows stay as
+    they are, and only trees that meet the feature are walked again."""
+    ship(df.sparkSession)
+    best = top_contributions(df, Forest(node_table(model)), model.means, top_n, tuple(ids))
     classes = F.array(*[F.lit(c) for c in model.classes])
     shown = F.transform("best", lambda b: F.struct(
         b.feature.alias("feature"), F.round(b.contribution, 4).alias("contribution"), F.round(b.value, 4).alias("value"),
@@ -272,18 +262,38 @@ def load_model(spark: SparkSession, path: str) -> Fitted | None:
     return Fitted(PipelineModel.load(f"{path}/pipeline"), list(about["features"]), tuple(about["classes"]), dict(about["means"] or {}))
 
 
+def train_families(feats: DataFrame, cols: list[str] | None = None, sensors=SENSORS, p: TreeParams = TreeParams(), workers: int = 4) -> dict:
+    """The classifiers for label and cause and one regressor per sensor, ``workers`` fits at a time: each fit is a
+    row of small jobs, so several of them keep the executors busy. ``feats`` is a written :func:`split_frame`."""
+    cols = cols or feature_columns(feats)
+    jobs = {"potability": lambda: train_potability(feats, cols, p=p), "cause": lambda: train_cause(feats, cols, p=p)}
+    for s in [s for s in sensors if f"target_{s}" in feats.columns]:
+        jobs[s] = lambda s=s: train_forecasts(feats, cols, (s,), p)[s]
+    with ThreadPoolExecutor(workers) as pool:
+        running = {name: pool.submit(inheritable_thread_target(feats.sparkSession)(job)) for name, job in jobs.items()}
+        done = {name: f.result() for name, f in running.items()}
+    return {"potability": done.pop("potability"), "cause": done.pop("cause"), "forecast": done}
+
+
+def save_families(models: dict, out_dir: str) -> None:
+    """All models and the importance file: feature, importance (number of splits), gain; most splits first."""
+    for name in ("potability", "cause"):
+        save_model(models[name], f"{out_dir}/{name}")
+    for s, m in models["forecast"].items():
+        save_model(m, f"{out_dir}/forecast/{s}")
+    counts = split_counts(node_table(models["potability"]), models["potability"].features)
+    counts.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out_dir}/feature_importance")  # a row per feature
+
+
+def read_importance(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema("feature string, importance long, gain double").option("header", True).csv(f"{out_dir}/feature_importance")
+
+
 def train_all(readings: DataFrame, out_dir: str | None = None, p: TreeParams = TreeParams(), sensors=SENSORS,
-              layout: Layout = LAYOUT) -> dict:
+              layout: Layout = LAYOUT, workers: int = 4) -> dict:
     """Features once, then the three model families; saved below ``out_dir`` if given."""
     feats = split_frame(written(build_features(readings, layout=layout), "features"), sensors)
-    cols = feature_columns(feats)
-    models = {"potability": train_potability(feats, cols, p=p), "cause": train_cause(feats, cols, p=p),
-              "forecast": train_forecasts(feats, cols, sensors, p)}
+    models = train_families(feats, sensors=sensors, p=p, workers=workers)
     if out_dir:
-        save_model(models["potability"], f"{out_dir}/potability")
-        save_model(models["cause"], f"{out_dir}/cause")
-        for s, m in models["forecast"].items():
-            save_model(m, f"{out_dir}/forecast/{s}")
-        importances(models["potability"], readings.sparkSession).coalesce(1).write.mode("overwrite").option(
-            "header", True).csv(f"{out_dir}/feature_importance")
+        save_families(models, out_dir)
     return models

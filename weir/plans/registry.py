@@ -38,9 +38,14 @@ def shown(df: DataFrame) -> DataFrame:
     return out.select(*[F.col(c).cast("float").cast("double").alias(c) if c in means else F.col(c) for c in out.columns])
 
 
+def _stamped(spark: SparkSession, sf: str, name: str, table: str = "events") -> tuple:
+    """A key that follows the table's files, so that what was made of an earlier state is not used again."""
+    return name, sf, stamp(spark, f"{sf}/{table}.parquet")
+
+
 def alert_table(spark: SparkSession, sf: str) -> DataFrame:
     """Alert levels of all readings, written once per application."""
-    return once(spark, ("alerts", sf), lambda: A.alert_states(readings(spark, sf), keep=["ts", "event_type"]))
+    return once(spark, _stamped(spark, sf, "alerts"), lambda: A.alert_states(readings(spark, sf), keep=["ts", "event_type"]))
 
 
 def rule_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,23 +210,27 @@ def csv_export(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- models
 
 def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, ("features", sf), lambda: X.build_features(readings(spark, sf)))
+    return once(spark, _stamped(spark, sf, "features"), lambda: X.build_features(readings(spark, sf)))
 
 
 def split_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return remembered(spark, ("split-frame", sf), lambda: M.split_frame(feature_frame(spark, sf)))
+    return remembered(spark, _stamped(spark, sf, "split-frame"), lambda: M.split_frame(feature_frame(spark, sf)))
+
+
+def _trained(spark, sf) -> dict:
+    return remembered(spark, _stamped(spark, sf, "models"), lambda: M.train_families(split_frame(spark, sf)))
 
 
 def _potability(spark, sf):
-    return remembered(spark, ("potability", sf), lambda: M.train_potability(split_frame(spark, sf)))
+    return _trained(spark, sf)["potability"]
 
 
 def _cause(spark, sf):
-    return remembered(spark, ("cause", sf), lambda: M.train_cause(split_frame(spark, sf)))
+    return _trained(spark, sf)["cause"]
 
 
 def _forecasts(spark, sf):
-    return remembered(spark, ("forecasts", sf), lambda: M.train_forecasts(split_frame(spark, sf)))
+    return _trained(spark, sf)["forecast"]
 
 
 def _held_out(spark, sf):
@@ -290,6 +299,24 @@ def importance_summary(spark, sf):
                                              F.count_distinct("feature").alias("n_names"))
 
 
+def importance_splits(spark, sf):
+    """Splits on every feature of the label classifier, and their summed gain."""
+    model = _potability(spark, sf)
+    return rounded(M.split_counts(M.node_table(model), model.features))
+
+
+def training_run(spark, sf):
+    """All models saved, the importance file read back, and each model loaded again: name, features, trees, and
+    the features that the file ranks."""
+    models, path = _trained(spark, sf), new_path(spark, "training-run")
+    M.save_families(models, path)
+    ranked = M.read_importance(spark, path).filter("importance > 0").count()
+    places = {"potability": "potability", "cause": "cause", **{f"forecast_{s}": f"forecast/{s}" for s in models["forecast"]}}
+    again = {name: M.load_model(spark, f"{path}/{at}") for name, at in places.items()}
+    rows = [(name, len(m.features), m.model.getNumTrees if isinstance(m.model.getNumTrees, int) else m.model.getNumTrees(), ranked) for name, m in again.items()]
+    return spark.createDataFrame(rows, "model string, n_features int, n_trees int, ranked_features long")
+
+
 def top_importances(spark, sf):
     return feature_importance(spark, sf).limit(15)
 
@@ -354,10 +381,6 @@ def _files(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _stamped(spark: SparkSession, sf: str, name: str, table: str = "events") -> tuple:
-    return name, sf, stamp(spark, f"{sf}/{table}.parquet")
-
-
 def _replay(spark: SparkSession, sf: str) -> DataFrame:
     r = readings(spark, sf)
 
@@ -430,7 +453,7 @@ def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         raw_csv_profile, partitioned_sink, csv_export, blocked_split_features, ordered_split_features, forecast_targets_features,
         naive_forecast_mae, potability_model, cause_model_report, cause_confusion, cause_confusion_totals, ml_hits, hybrid_diagnosis_ml,
-        cause_attribution, feature_importance, importance_summary, top_importances, forecast_mae, forecast_residuals_ml, future_risk,
+        cause_attribution, feature_importance, importance_summary, importance_splits, training_run, top_importances, forecast_mae, forecast_residuals_ml, future_risk,
         cross_validation, model_save_load, stream_scores, stream_alerts, stream_features, stream_late_rows)}
 
 
