@@ -7,7 +7,8 @@ a smaller id, or earlier in the same one) is removed.
   Equal strings have equal anchors, and neighbouring strings with the same anchor form one
   stretch of text. So only stretches whose anchor occurs again can hold repeats: in another
   stretch, or at two places of the same.
-* **Shards.** Stretches are dealt by anchor, so equal strings meet. Each shard builds the
+* **Shards.** Stretches are dealt by anchor, so equal strings meet; of equal stretches in one batch
+  of documents only the earliest is sent, the others are repeats anyway. Each shard builds the
   suffix array of its distinct stretches by Larsson-Sadakane refinement (prefix doubling of
   the groups that are still unsorted), and the common prefixes of neighbours by Kasai's
   algorithm, many text positions at a time. Neighbours that share ``length`` bytes are
@@ -310,15 +311,26 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
         owner = np.repeat(np.arange(batch.num_rows), sizes)
         raw = [t.encode() for t in batch.column("text").to_pylist()]
         piece = [raw[o][a:a + k + length - 1] for o, a, k in zip(owner.tolist(), lo.tolist(), n.tolist())]
-        return {"shard": field("shard"), "doc": batch.column("doc").to_numpy()[owner], "lo": lo.astype(np.int32), "piece": piece}
+        doc = batch.column("doc").to_numpy()[owner]
+        # a stretch that the batch has earlier goes as a whole, whatever the shard finds, and is not sent again
+        seen: set[bytes] = set()
+        for i in np.lexsort((lo, doc)).tolist():
+            if piece[i] in seen:
+                piece[i] = None
+            else:
+                seen.add(piece[i])
+        return {"shard": field("shard"), "doc": doc, "lo": lo.astype(np.int32), "hi": (lo + n + length - 1).astype(np.int32), "piece": piece}
 
-    pieces = in_batches(texts.join(lists, "doc").select("doc", "text", "at"), "shard long, doc long, lo int, piece binary", cut)
+    pieces = in_batches(texts.join(lists, "doc").select("doc", "text", "at"), "shard long, doc long, lo int, hi int, piece binary", cut)
     span_type = arrow_schema(spark, "key binary, shard long, doc long, start int, end int")
 
     def in_shard(table: pa.Table) -> pa.Table:
         name = table.column("shard")[0].as_py()
-        (doc, a, b), runs = repeats(table.column("doc").to_numpy(), table.column("lo").to_numpy().astype(np.int64),
-                                    table.column("piece").to_pylist(), length, name < 0)
+        known = table.filter(table.column("piece").is_null())
+        table = table.filter(table.column("piece").is_valid())
+        found, runs = repeats(table.column("doc").to_numpy(), table.column("lo").to_numpy().astype(np.int64),
+                              table.column("piece").to_pylist(), length, name < 0) if len(table) else ((np.zeros(0, np.int64),) * 3, None)
+        doc, a, b = (np.concatenate([x, known.column(c).to_numpy()]) for x, c in zip(found, ("doc", "lo", "hi")))
         keys, doc2, start2 = runs if runs else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pa.Table.from_arrays([
             pa.array([None] * len(doc) + keys, span_type[0].type), pa.array([None] * len(doc) + [name] * len(keys), span_type[1].type),
