@@ -10,7 +10,8 @@ kind ``random``.
 
 Positions are code points, ends exclusive. Null texts count as empty. Repeated rows give
 repeated results; a null doc_id is kept. Extra columns are ignored. Without any labelled
-sample all ratios are zero and nothing is added.
+sample all ratios are zero and nothing is added. A long text is one row; work and memory grow
+with its length (positions and overlaps come from running sums and maxima by blocks).
 """
 
 from __future__ import annotations
@@ -47,27 +48,60 @@ def _empty() -> Column:
     return F.expr(f"CAST(array() AS {SPAN})")
 
 
-def found(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
+def running(xs: Column, op, none, block: int = 256) -> Column:
+    """Running ``op`` (associative, ``none`` as its neutral value) over an array, itself included. Blocks
+    are scanned on their own and then moved by what precedes them, so no array grows step by step to
+    the length of the text."""
+    def scan(values: Column, start: Column) -> Column:
+        """Each value's accumulation, after ``start``."""
+        begin = F.struct(start.alias("at"), F.slice(values, 1, 0).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = op(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(values, begin, step)["out"]
+
+    def of_blocks(inner: Column) -> Column:
+        ends = F.transform(inner, lambda b: F.element_at(b, -1))
+        before = lambda e: F.concat(F.array(F.lit(none)), scan(e, F.lit(none)))
+        return F.flatten(bound(before(ends), lambda at: F.transform(inner, lambda b, i: F.transform(b, lambda x: op(F.get(at, i), x)))))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
+    inner = F.transform(numbers, lambda k: scan(F.slice(xs, k * block + 1, block), F.lit(none)))
+    return F.when(F.size(xs) == 0, xs).when(F.size(xs) <= block, scan(xs, F.lit(none))).otherwise(bound(inner, of_blocks))
+
+
+def added_up(xs: Column) -> Column:
+    return running(xs, lambda a, x: a + x, 0)
+
+
+def largest(xs: Column) -> Column:
+    return running(xs, lambda a, x: F.greatest(a, x), -(1 << 31))
+
+
+def found(text: Column, kind: int, pattern: str, group: int, least: int, keep: bool = False) -> Column:
     """Spans of the matches whose ``group`` has at least ``least`` characters. Matches and the
-    stretches between them alternate, so positions are running sums of their lengths."""
+    stretches between them alternate, so positions are running sums of their lengths. ``keep`` adds
+    the matched text."""
     def placed(m: Column) -> Column:
-        def go(gaps: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), _empty().alias("out"))
-            each = F.zip_with(gaps, m, lambda g, x: F.struct(F.length(g).alias("g"), F.length(x.m).alias("n"), F.length(x.v).alias("v")))
+        sizes = lambda gaps: F.transform(m, lambda x, i: F.length(F.get(gaps, i)) + F.length(x.m))
 
-            def step(acc: Column, x: Column) -> Column:
-                s = acc["at"] + x.g
-                one = F.array(F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + x.n).alias("end")))
-                return F.struct((s + F.coalesce(x.n, F.lit(0))).alias("at"), F.when(x.v >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        def spans(ends: Column) -> Column:
+            each = F.transform(m, lambda x, i: F.struct(
+                (F.get(ends, i) - F.length(x.m)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"),
+                *([x.m.alias("token")] if keep else [F.length(x.v).alias("v")])))
+            if keep:
+                return each
+            return F.transform(F.filter(each, lambda x: x.v >= least), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
 
-            return F.aggregate(each, start, step)["out"]
-
-        return bound(F.split(text, pattern, -1), go)
+        return bound(bound(bound(F.split(text, pattern, -1), sizes), added_up), spans)
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     both = F.zip_with(matches, values, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
-    return F.when(text.rlike(pattern), bound(both, placed)).otherwise(_empty())
+    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,token:string>>)") if keep else _empty()
+    return F.when(text.rlike(pattern), bound(both, placed)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -75,6 +109,12 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*kinds))
 
 
+def base_values(text: Column) -> Column:
+    """What the base patterns measure, of every match that passes."""
+    each = [F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(group)), lambda v, k=least: F.length(v) >= k) for p, group, least in KINDS.values()]
+    return F.concat(*each)
+
+
 def as_text(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in (*KINDS, RANDOM)])
     one = lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))
@@ -83,21 +123,22 @@ def as_text(spans: Column) -> Column:
 
 def steps(token: Column) -> Column:
     """Pairs of neighbouring characters."""
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substring(token, i, 2))
+    pairs = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.concat(x, F.get(c, i + 1)))
+    return bound(F.split(token, ""), pairs)
 
 
 def ratios(docs: DataFrame, n: int = SAMPLE) -> list[int]:
     """Log-likelihood ratio, in thousandths of a nat, of every pair of characters, counted on the
     documents with the smallest hashes of their ids, ``n`` of them in expectation."""
     part = min(1.0, n / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    drawn = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))  # rows without an id are drawn by their text
+    chosen = docs.filter(F.pmod(drawn, F.lit(1 << 30)) < int(part * (1 << 30)))
     text = whole_text()
-    some = written(chosen.select("doc_id", text.alias("text"), base_spans(text).alias("base")), "sample")
-    value = lambda s: F.regexp_extract(F.substr(F.col("text"), s.start + 1, s.end - s.start), r"([A-Za-z0-9+/_.=-]+)$", 1)
+    some = written(chosen.select("doc_id", text.alias("text"), base_values(text).alias("base")), "sample")
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
     wide = F.base64(F.unhex(digest))
     made = F.array(F.substring(digest, 1, 40), wide, F.upper(F.regexp_replace(wide, "[+/=]", "")), F.regexp_replace(wide, "[+/=]", ""))
-    random = some.select(F.explode(F.concat(F.transform("base", value), made)).alias("token"), F.lit(1).alias("random"))
+    random = some.select(F.explode(F.concat("base", made)).alias("token"), F.lit(1).alias("random"))
     words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))), lambda w: ~w.rlike("[0-9]"))
 
     def identifiers(ws: Column) -> Column:
@@ -142,14 +183,24 @@ def scan(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
     text, kind = whole_text(), len(KINDS)
 
     def added(base: Column) -> Column:
-        spans = found(text, kind, TOKEN, 0, 0)
-        apart = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
+        """Tokens apart from all base spans, and likely random. All spans in the order of their starts: a
+        token is apart if no base span before it reaches into it and the next one starts behind it."""
+        tokens = found(text, kind, TOKEN, 0, 0, keep=True)
+        both = F.sort_array(F.concat(F.transform(base, lambda b: F.struct(
+            b.start.alias("start"), b.kind.alias("kind"), b.end.alias("end"), F.lit("").alias("token"))), tokens))
+
+        def apart(all_: Column) -> Column:
+            reached = largest(F.transform(all_, lambda s: F.when(s.kind < kind, s.end).otherwise(-1)))
+            following = F.reverse(largest(F.transform(F.reverse(all_), lambda s: F.when(s.kind < kind, -s.start).otherwise(-(1 << 30)))))
+            alone = lambda r, n: F.transform(all_, lambda s, i: F.when(
+                (s.kind == kind) & (F.get(r, i) <= s.start) & (-F.get(n, i) >= s.end), s))
+            return F.filter(bound(reached, lambda r: bound(following, lambda n: alone(r, n))), lambda s: s.isNotNull())
 
         def passes(s: Column) -> Column:
-            token = F.substr(text, s.start + 1, s.end - s.start)
-            return ratio(token, table) >= F.greatest(F.lit(LEAST), (s.end - s.start - 1) * LEAST_STEP)
+            return ratio(s.token, table) >= F.greatest(F.lit(LEAST), (s.end - s.start - 1) * LEAST_STEP)
 
-        return F.filter(apart, passes)
+        kept = F.filter(bound(both, apart), passes)
+        return F.transform(kept, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
 
     more = lambda b: F.when(text.rlike(TOKEN), F.sort_array(F.concat(b, added(b)))).otherwise(b)
     both = bound(base_spans(text), lambda b: F.struct(b.alias("base"), more(b).alias("spans")))
@@ -164,16 +215,32 @@ def secrets(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
                       F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+BLOCK, BIG = 4096, 1 << 18
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` characters, so that a stretch is cut from its own blocks instead
+    of being counted off from the beginning of the text."""
+    cut = lambda t, size: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / size).cast("int")),
+                                      lambda k: F.substr(t, k * size + 1, F.lit(size)))
+    return F.flatten(F.transform(cut(text, BIG), lambda t: cut(t, BLOCK)))
+
+
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every stretch of spans replaced by a mark; overlapping spans become one mark."""
-    def step(acc: Column, s: Column) -> Column:
-        apart = s.start >= acc["at"]
-        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s.start - acc["at"]), F.lit(MASK))
-        return F.struct(F.when(apart, out).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s.end).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    whole = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, whole))
+    def stretch(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        return F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, end - start)
+
+    def whole(blocks: Column) -> Column:
+        def pieces(reached: Column) -> Column:
+            before = lambda i: F.when(i == 0, 0).otherwise(F.get(reached, i - 1))
+            each = F.transform(spans, lambda s, i: F.when(s.start >= before(i), F.concat(stretch(blocks, before(i), s.start), F.lit(MASK))).otherwise(""))
+            return F.concat(F.array_join(each, ""), stretch(blocks, F.element_at(reached, -1), F.length(text)))
+
+        return bound(largest(F.transform(spans, lambda s: s.end)), pieces)
+
+    return F.when(F.size(spans) == 0, text).otherwise(bound(blocks_of(text), whole))
 
 
 def redact(docs: DataFrame) -> DataFrame:
