@@ -43,6 +43,10 @@ SHARD = 16_384
 #: Stretches per byte of text that winnowing yields on average: two per window of grams.
 DENSITY = 2.0 / (LENGTH - GRAM + 2)
 
+#: Anchors travel with 48 bits: at 10^12 of them under half a percent meet another by chance, and these only
+#: send some stretches to a shard in vain.
+SHORT = np.uint64(16)
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -104,7 +108,7 @@ def stretches_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     count = np.diff(np.concatenate([first, [len(start)]]))
     several = np.add.reduceat(np.concatenate([[False], moved & ~cut]).astype(np.int64), first) > 0
     at = start[first]
-    return doc[at], at - (ends - sizes)[doc[at]], np.where(several, -count, count), anchor[first].view(np.int64)
+    return doc[at], at - (ends - sizes)[doc[at]], np.where(several, -count, count), (anchor[first] >> SHORT).astype(np.int64)
 
 
 def _blocks(texts: list[bytes]):
