@@ -74,11 +74,12 @@ def drop_written(spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def forget(spark: SparkSession) -> None:
-    """Drop the memory of tables written by :func:`once` (the files stay)."""
+def forget(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Drop the memory of tables written by :func:`once` and of :func:`remembered` objects (the files stay),
+    but for those whose key begins with a name in ``keep``."""
     app = spark.sparkContext.applicationId
     for known in (_tables, _frames):
-        for key in [k for k in known if k[0] == app]:
+        for key in [k for k in known if k[0] == app and k[1] not in keep]:
             del known[key]
 
 
