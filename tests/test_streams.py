@@ -141,3 +141,42 @@ def test_replay_in_slices_of_even_files(spark, tmp_path):
     assert sizes[-1] < 2 * sizes[len(sizes) // 2]
     slices = [sum(read[i:i + 4], []) for i in range(0, 20, 4)]
     assert all(max(a) < min(b) for a, b in zip(slices, slices[1:])) and sum(map(len, slices)) == 20_000
+
+
+def test_runs_are_folded_in_pieces(spark, tmp_path, monkeypatch):
+    """What one batch releases leaves in pieces, and is the same as in one; back-fills look beyond a piece."""
+    rng = random.Random(6)
+    rows = [tuple(None if 30 < i < 100 and s == "ph" or i > 110 and s == "thm" else v for s, v in zip(("site", "ts", *SENSORS), r)) for i, r in enumerate(made(rng, "a", 130, 0.3))]
+    frame = pd.DataFrame([r[2:] for r in rows], columns=list(SENSORS), dtype=float)
+    frame["us"] = np.arange(len(frame))
+    fold = folds.FeatureFold()
+    whole = pd.DataFrame(fold(fold.start, frame, np.empty((0, len(SENSORS))), frame.iloc[:0])[1])
+
+    class Held:
+        """A state value, or list, of one site."""
+        def __init__(self): self.it = None
+        def exists(self): return self.it is not None
+        def get(self): return self.it
+        def update(self, it): self.it = it
+        put = update
+        def clear(self): self.it = None
+        def appendValue(self, v): self.it = [*(self.it or []), v]
+
+    class Handle:
+        def registerTimer(self, ms): pass
+
+    class Times:
+        def getCurrentWatermarkInMs(self): return 10
+
+    for piece in (7, 8192):
+        monkeypatch.setattr(ST, "PIECE", piece)
+        p = ST.InOrder(fold, (), ["us"])
+        p.handle, p.waiting, p.earliest, p.known, p.tail = Handle(), Held(), Held(), Held(), Held()
+        for part in (frame.iloc[60:], frame.iloc[:60]):
+            assert list(p.handleInputRows(("a",), iter([part.assign(is_end=False, ts=0)]), Times())) == []
+        out = list(p.handleExpiredTimer(("a",), Times(), None))
+        assert max(map(len, out)) <= piece and not p.waiting.exists()
+        got = pd.concat(out, ignore_index=True)
+        assert got["seq"].tolist() == list(range(130)) and p.known.get()[0] == 130
+        for c in whole.columns:
+            assert np.allclose(got[c].to_numpy(float), whole[c].to_numpy(float), atol=1e-9, equal_nan=True), c

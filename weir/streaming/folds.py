@@ -1,11 +1,13 @@
 """What a site's released readings become, given what is known of the site: numpy on whole runs of readings.
 
 A fold takes the state of a site, its next readings in order, the readings just before them
-and those that have arrived after them, and gives the new state and a row per reading.
+and those that have arrived after them, and gives the new state and a row per reading. ``sight``
+tells how many of those after them it looks at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
@@ -74,6 +76,9 @@ class AlertFold:
     tail = 0
     made = "seq long, risk double, alert_level string, alert_changed boolean"
 
+    def sight(self, rows: pd.DataFrame) -> Callable[[int], int]:
+        return lambda end: end
+
     def __call__(self, state: tuple, rows: pd.DataFrame, tail: np.ndarray, ahead: pd.DataFrame) -> tuple[tuple, dict]:
         n, num, den, over_warn, over_crit, level = state
         nums, dens = decayed_sums(rows[["risk_raw"]].to_numpy(float), self.span, np.array([num]), np.array([den]))
@@ -141,6 +146,18 @@ class FeatureFold:
         names += [f"{s}_diff{k} double" for s in self.sensors for k in self.diffs] + [f"{s}_lag{k} double" for s in self.sensors for k in self.lags]
         return ", ".join(["seq long", *names, *(f"{s}_stuck int" for s in self.sensors)])
 
+    def sight(self, rows: pd.DataFrame) -> Callable[[int], int]:
+        """For a run that ends before row ``end``, the end of the rows its lags look at: the back-fill takes every
+        sensor's next value, and a lag is null unless as many rows follow that value."""
+        some = [np.flatnonzero(rows[s].notna().to_numpy()) for s in self.sensors]
+        far = max(self.lags, default=0) + 1
+
+        def until(end: int) -> int:
+            nexts = [int(at[k]) if k < len(at) else len(rows) for at in some for k in [np.searchsorted(at, end)]]
+            return min(len(rows), max(nexts, default=end) + far)
+
+        return until
+
     def __call__(self, state: tuple, rows: pd.DataFrame, tail: np.ndarray, ahead: pd.DataFrame) -> tuple[tuple, dict]:
         names, m, t = list(self.sensors), len(rows), len(tail)
         fresh = rows[names].to_numpy(float)

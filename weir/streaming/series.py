@@ -9,8 +9,8 @@ and are numbered on.
 
 A site's readings of one micro-batch pass one task, as their order demands; what that can be
 is bounded by the rate the source admits per trigger, not by the site's history. Work per
-reading is numpy on whole runs (:mod:`weir.streaming.folds`), and only the columns a fold
-needs travel to it.
+reading is numpy on runs of ``PIECE`` readings (:mod:`weir.streaming.folds`), whose results
+leave before the next run is folded, and only the columns a fold needs travel to it.
 
 The back-fill of a lag takes the next reading that has arrived when the row is released, and
 is null where none has.
@@ -36,6 +36,8 @@ from .folds import AlertFold, FeatureFold
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The end of a finished stream: later than any reading.
 END = "2200-01-01"
+#: Readings of a site that are folded, and kept waiting in one entry, at once.
+PIECE = 8192
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
@@ -64,45 +66,49 @@ class InOrder(StatefulProcessor):
         self.tail = handle.getListState("tail", "values array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f[~f["is_end"]].drop(columns=["is_end", "ts"]) for f in rows]
-        fresh = pd.concat(frames, ignore_index=True)
-        if len(fresh):
-            self._hold([(int(fresh["us"].min()), _packed(fresh))], add=True)
+        first = None
+        for f in rows:
+            fresh = f[~f["is_end"]].drop(columns=["is_end", "ts"])
+            if len(fresh):
+                at = int(fresh["us"].min())
+                self.waiting.appendValue((at, _packed(fresh)))
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self._wake(min(first, self.earliest.get()[0]) if self.earliest.exists() else first)
         return iter(())
 
-    def _hold(self, parts: list[tuple[int, bytes]], add: bool) -> None:
-        first = min(us for us, _ in parts)
-        if add:
-            self.waiting.appendList(parts)
-            first = min(first, self.earliest.get()[0]) if self.earliest.exists() else first
-        else:
-            self.waiting.put(parts)
+    def _wake(self, first: int) -> None:
         self.earliest.update((first,))
         self.handle.registerTimer(-(-first // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs() * 1000
         if not self.earliest.exists() or self.earliest.get()[0] > reached:
-            return iter(())  # an earlier timer of this site has released its readings
+            return  # an earlier timer of this site has released its readings
         rows = pd.concat([_unpacked(data) for _, data in self.waiting.get()], ignore_index=True)
         rows = rows.sort_values(["us", *self.order], kind="stable", ignore_index=True)
         n = int(np.searchsorted(rows["us"].to_numpy(), reached, side="right"))
-        ready, ahead = rows.iloc[:n], rows.iloc[n:]
-        if len(ahead):
-            self._hold([(int(ahead["us"].iloc[0]), _packed(ahead))], add=False)
+        if n < len(rows):
+            cuts = range(n, len(rows), PIECE)
+            self.waiting.put([(int(rows["us"].iloc[at]), _packed(rows.iloc[at:at + PIECE])) for at in cuts])
+            self._wake(int(rows["us"].iloc[n]))
         else:
             self.waiting.clear()
             self.earliest.clear()
         keep = self.fold.tail
         tail = np.array([v for (v,) in self.tail.get()], float) if keep and self.tail.exists() else None
         tail = np.empty((0, len(self.fold.sensors) if keep else 0)) if tail is None else tail
-        state, made = self.fold(self.known.get() if self.known.exists() else self.fold.start, ready, tail, ahead)
+        state, sight = self.known.get() if self.known.exists() else self.fold.start, self.fold.sight(rows)
+        for at in range(0, n, PIECE):  # what a run becomes may be many times its size
+            end = min(at + PIECE, n)
+            ready = rows.iloc[at:end]
+            state, made = self.fold(state, ready, tail, rows.iloc[end:sight(end)])
+            if keep:
+                tail = np.vstack([tail, ready[list(self.fold.sensors)].to_numpy(float)[-keep:]])[-keep:]
+            yield pd.DataFrame({"site": np.full(end - at, key[0], object), **{c: ready[c].to_numpy() for c in self.carried}, **made})
         self.known.update(state)
         if keep:
-            last = np.vstack([tail, ready[list(self.fold.sensors)].to_numpy(float)[-keep:]])[-keep:]
-            self.tail.put([(v,) for v in last.tolist()])
-        out = {"site": np.full(n, key[0], object), **{c: ready[c] for c in self.carried}, **made}
-        return iter([pd.DataFrame(out)])
+            self.tail.put([(v,) for v in tail.tolist()])
 
     def close(self) -> None:
         pass
