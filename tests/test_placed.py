@@ -69,3 +69,26 @@ def test_a_fold_by_rows_is_that_of_the_split(spark, numbered, n):
     for f in range(1, n):
         a, b = P.fold_rows(rows, f, n).select("site", "pos", "fold", "role"), folds.filter(F.col("fold") == f)
         assert a.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_a_query_fits_only_its_family(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(R, "split_frame", lambda spark, sf: None)
+    monkeypatch.setattr(R, "_stamped", lambda spark, sf, name: ("test-family", name))
+    monkeypatch.setattr(M, "train_families", lambda frame, families=M.FAMILIES: asked.append(families) or {f: f for f in families})
+    assert (R._cause(spark, "-"), R._potability(spark, "-"), R._cause(spark, "-")) == ("cause", "potability", "cause")
+    assert asked == [("cause",), ("potability",)]
+
+
+def test_forecasts_share_a_vector(spark, numbered):
+    rows = M.in_frame(M.placed(numbered(made(6))))
+    models = M.train_families(rows, ["ph", "tds"], ("ph", "thm"), M.TreeParams(max_iter=2, max_depth=2), families=("forecast",))["forecast"]
+    assert list(models) == ["ph", "thm"]
+    got = M.with_forecasts(models, rows)
+    for s, m in models.items():
+        want = m.transform(rows).select("site", "seq", F.col("prediction").alias(f"_f_{s}"))
+        assert got.select("site", "seq", f"_f_{s}").exceptAll(want).count() == 0
+    mae = {r.sensor: (r.n_rows, round(r.mae, 9)) for r in M.forecast_mae(models, rows).collect()}
+    for s in models:
+        held = got.filter(f"role = 'validate' AND target_{s} IS NOT NULL").select(F.abs(F.col(f"target_{s}") - F.col(f"_f_{s}"))).toPandas().iloc[:, 0]
+        assert mae[s] == (len(held), round(held.mean(), 9))
